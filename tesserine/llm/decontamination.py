@@ -15,6 +15,7 @@ takes more passes, and no item is left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,9 @@ def found_in(texts: pa.Array, items: Items, threshold: float) -> tuple[np.ndarra
     h, doc, at = words.grams(items.n, short=True)
     hit, which = kit.in_sorted(h, items.seeds)
     doc, at, which = doc[hit], at[hit], which[hit]
+    if not len(doc):
+        none = np.empty(0, np.int64)
+        return none, none, np.empty(0), none, none
     times = items.seed_first[which + 1] - items.seed_first[which]
     rep = np.repeat(np.arange(len(which)), times)
     e = np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times) + items.seed_first[which][rep]
@@ -144,7 +148,7 @@ def sliced(docs: DataFrame, benchmark: DataFrame, n: int, min_seeds: int, slice_
     parts = kit.parts(size, slice_bytes)
     for k in range(parts if size else 0):
         rows = slim.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        items = Items(rows.column("item_id").to_pylist() and [(-1 if i is None else i) for i in rows.column("item_id").to_pylist()], rows.column("text").to_pylist(), n)
+        items = Items([(-1 if i is None else i) for i in rows.column("item_id").to_pylist()], rows.column("text").to_pylist(), n)
         items.null = pc.is_null(rows.column("item_id")).to_numpy()
         if len(items.table):
             items.choose(counts(docs.select(F.col("text").cast("string").alias("text")), items), min_seeds)
@@ -162,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: f
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = spark.createDataFrame([], SCHEMA)
+    found = []
     for items in sliced(docs, benchmark, n, min_seeds, slice_bytes):
         shared = spark.sparkContext.broadcast(items)
 
@@ -172,9 +176,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: f
                 doc, item, score, first, seeds = found_in(b.column("text"), items, threshold)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(items.ids[item], mask=items.null[item]), pa.array(score), pa.array(first.astype(np.int64)), pa.array(seeds.astype(np.int32))], ["doc_id", "item_id", "score", "first_word", "seeds"])
 
-        part = slim.mapInArrow(run, SCHEMA)
-        out = part if not out.isStreaming and out.isLocal() else out.unionByName(part)
-    return out
+        found.append(slim.mapInArrow(run, SCHEMA))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4, min_seeds: int = 12, slice_bytes: int = 8 << 20) -> DataFrame:
