@@ -50,12 +50,13 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
-def shared_sets(rows: DataFrame, column: str, tokenise: Tokenise, tokens: int, threshold: float, bucket_tokens: int = 4_000_000) -> DataFrame:
+def shared_sets(rows: DataFrame, column: str, tokenise: Tokenise, tokens: int, threshold: float, bucket_tokens: int = 1_000_000) -> DataFrame:
     """Of rows(doc_id, column), what the search needs. tokens is about how many tokens there are, and sets but the number of buckets.
 
     doc_id, n, own (tokens that no other has), live (prefix tokens that another has), near (counts by part), keys (tokens that another has, rarest first) of the documents with any in the prefix.
     """
-    buckets = min(kit.parts(tokens, bucket_tokens), 1 << 18)
+    buckets = min(kit.parts(tokens, bucket_tokens), 1 << 24)
+    lost = max(0, (buckets - 1).bit_length() - 18)  # of 40 bits beside the bucket's, so that a key has 58 in all
 
     def spread(batches):
         task = TaskContext.get()
@@ -99,7 +100,8 @@ def shared_sets(rows: DataFrame, column: str, tokenise: Tokenise, tokens: int, t
             if bucket < 0:
                 ids, n, near = np.frombuffer(low, np.int64), np.frombuffer(high, np.int32), np.frombuffer(doc, np.uint16).reshape(-1, 8)
                 continue
-            keys.append((np.frombuffer(code, np.uint8).astype(U64) << U64(58)) | (U64(bucket) << U64(40)) | (np.frombuffer(high, np.uint8).astype(U64) << U64(32)) | np.frombuffer(low, np.uint32).astype(U64))
+            token = (np.frombuffer(high, np.uint8).astype(U64) << U64(32)) | np.frombuffer(low, np.uint32).astype(U64)
+            keys.append((np.frombuffer(code, np.uint8).astype(U64) << U64(58)) | (U64(bucket) << U64(40 - lost)) | (token >> U64(lost)))
             docs_of.append(np.frombuffer(doc, np.uint16))
         key, doc = (np.concatenate(keys), np.concatenate(docs_of)) if keys else (np.empty(0, U64), np.empty(0, np.uint16))
         order = np.lexsort((key, doc))
@@ -144,7 +146,7 @@ def candidate_edges(key: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.nda
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """Edges a, b that join up whatever candidates hang together."""
     total = sets.agg(F.sum("live")).first()[0] or 0
-    groups = kit.parts(total, 500_000)
+    groups = kit.parts(total, 250_000)
 
     def prefixes(batches):
         for b in batches:
