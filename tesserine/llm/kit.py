@@ -47,6 +47,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+SMALL = 2_000_000  # rows of a name and two or three integers that may be broadcast
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has few rows; else it is joined by shuffling."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i up to n."""
     if len(_powers.get("up", ())) <= n:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import kit
 from .components import components
-from .setjoin import if_small, set_join
+from .setjoin import set_join
 
 
 def gram_sets(n: int):
@@ -45,4 +45,4 @@ def drop_similar(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFra
     """
     groups = components(similar_pairs(docs, n, threshold, spanning=True).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
     gone = groups.filter("id <> root").select(F.col("id").alias("_gone"))
-    return docs.join(if_small(gone, gone.count()), F.col("_gone") == docs["doc_id"].cast("long"), "left_anti")
+    return docs.join(kit.if_small(gone, gone.count()), F.col("_gone") == docs["doc_id"].cast("long"), "left_anti")

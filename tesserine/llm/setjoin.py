@@ -37,7 +37,6 @@ U64 = kit.U64
 Tokenise = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 BLOCK = 1024
 PACK = "bucket int, batch long, low binary, high binary, code binary, doc binary"
-SMALL = 2_000_000  # rows of two or three integers that may be broadcast
 
 
 def at_least(t: float, n: np.ndarray) -> np.ndarray:
@@ -45,11 +44,6 @@ def at_least(t: float, n: np.ndarray) -> np.ndarray:
     return np.ceil(t * n - 1e-9).astype(np.int64)
 
 
-def if_small(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if it has few rows; else it is joined by shuffling."""
-    return F.broadcast(df) if rows <= SMALL else df
-
-
 def shared_sets(rows: DataFrame, column: str, tokenise: Tokenise, tokens: int, threshold: float, bucket_tokens: int = 1_000_000) -> DataFrame:
     """Of rows(doc_id, column), what the search needs. tokens is about how many tokens there are, and sets but the number of buckets.
 
@@ -214,7 +208,7 @@ def verified(payload: DataFrame, size: str, roots: DataFrame, similarity: Callab
     groups = kit.parts(payload.agg(F.sum(F.octet_length(size))).first()[0] or 0, 4 << 20)
     columns = [c for c in payload.columns if c != "doc_id"]
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    spread = payload.join(if_small(sized, rows), payload["doc_id"] == sized["id"]).select("doc_id", *columns, "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = payload.join(kit.if_small(sized, rows), payload["doc_id"] == sized["id"]).select("doc_id", *columns, "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("doc_id", *columns, "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     spread = spread.withColumn("part", F.pmod(F.xxhash64("root", "i", "j"), F.lit(groups)))
 

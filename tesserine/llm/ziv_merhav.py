@@ -32,9 +32,9 @@ SCHEMA = "doc_id long, n_chars_parsed long, phrases long, own_phrases long, refe
 SEPARATOR = "\x00"
 
 
-def suffix_automaton(text: str) -> list[dict[str, int]]:
-    """The transitions of each state of the automaton of all substrings of text; 0 is the start."""
-    nxt: list[dict[str, int]] = [{}]
+def suffix_automaton(text: str) -> dict:
+    """The start of the automaton of all substrings of text; a state is a dict from a character to the next state."""
+    nxt: list[dict] = [{}]
     link, length = [-1], [0]
     last = 0
     for k, ch in enumerate(text, 1):
@@ -64,24 +64,26 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
                     nxt[p][ch] = clone
                     p = link[p]
         last = cur
-    return nxt
+    for t in nxt:
+        for ch, s in t.items():
+            t[ch] = nxt[s]
+    return nxt[0]
 
 
-def cross_phrases(states: list[dict[str, int]], text: str) -> int:
+def cross_phrases(start: dict, text: str) -> int:
     """Phrases of the greedy parse of text by longest matches; a character that the reference lacks is one by itself."""
-    start = states[0]
     t, c = start, 0
     for ch in text:
-        s = t.get(ch)
-        if s is None:
+        if ch in t:
+            t = t[ch]
+        else:
             if t is not start:
                 c += 1
-                s = start.get(ch)
-            if s is None:
+            if ch in start:
+                t = start[ch]
+            else:
                 c += 1
                 t = start
-                continue
-        t = states[s]
     return c + (t is not start)
 
 
@@ -90,13 +92,12 @@ def own_phrases(text: str) -> int:
     root: dict = {}
     t, c = root, 0
     for ch in text:
-        s = t.get(ch)
-        if s is None:
+        if ch in t:
+            t = t[ch]
+        else:
             t[ch] = {}
             c += 1
             t = root
-        else:
-            t = s
     return c + (t is not root)
 
 
@@ -117,9 +118,9 @@ def score(docs: DataFrame, group_bytes: int = 2 << 20, seed: int = 23) -> DataFr
     names.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")).alias("lang"))
-    sizes = slim.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).select("lang", F.greatest(F.lit(1), F.ceil(F.coalesce("b", F.lit(0)) / F.lit(group_bytes))).cast("long").alias("groups"))
+    sizes = kit.cut(slim.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).select("lang", F.greatest(F.lit(1), F.ceil(F.coalesce("b", F.lit(0)) / F.lit(group_bytes))).cast("long").alias("groups")))
     key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    grouped = slim.join(sizes, "lang").withColumn("part", F.pmod(F.xxhash64(key, F.lit(seed)), F.col("groups")))
+    grouped = slim.join(kit.if_small(sizes, sizes.count()), "lang").withColumn("part", F.pmod(F.xxhash64(key, F.lit(seed)), F.col("groups")))
 
     def one(t: pa.Table) -> pa.Table:
         ids, texts = t.column("doc_id").to_pylist(), [("" if x is None else x.replace(SEPARATOR, "")) for x in t.column("text").to_pylist()]
@@ -141,10 +142,10 @@ def score(docs: DataFrame, group_bytes: int = 2 << 20, seed: int = 23) -> DataFr
             text = SEPARATOR.join(texts[k] for k in reference[side])
             if not text.strip(SEPARATOR) or not against[side]:
                 continue
-            states = suffix_automaton(text)
+            start = suffix_automaton(text)
             for k in against[side]:
-                phrases[k], size[k] = cross_phrases(states, texts[k]), len(text)
-            del states
+                phrases[k], size[k] = cross_phrases(start, texts[k]), len(text)
+            del start
         out: list[tuple] = []
         for k in range(n):
             m = len(texts[k])
