@@ -75,7 +75,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def slices(batches, column: str = "text", most: int = 3 << 20, most_rows: int = 60_000):
+def slices(batches, column: str = "text", most: int = 1 << 20, most_rows: int = 60_000):
     """Sub-batches of about `most` bytes of text; a longer text is alone, whole."""
     for batch in batches:
         if not batch.num_rows:
