@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The documents' frequencies of all n-grams of the test items are counted over
-all documents. Each item's rarer half of n-grams, but at least min_seeds, are
-its seeds. Where a document holds a seed, the stretch around it that could
+all documents. An item's seeds are its n-grams that occur in at most a share
+`rare` of the documents (or 100 documents, if that is more), and in any case
+the min_seeds rarest that occur at all. Where a document holds a seed, the stretch around it that could
 hold the item is cut out, hits on nearby diagonals sharing one stretch, and
 aligned word by word with the item (match 2, mismatch -1, gap -1). The score,
 over twice the item's words, is 1 for an exact copy and stays high for
@@ -40,14 +41,15 @@ class Items:
         self.pos = at - self.first[self.item]
         self.table = np.unique(self.hash)
 
-    def choose(self, df: np.ndarray, min_seeds: int) -> None:
-        """df: the documents that hold each n-gram of table. Keeps the seeds, as a sorted table with the places of each."""
-        rank = np.lexsort((self.hash, df[np.searchsorted(self.table, self.hash)], self.item))
-        count = np.bincount(self.item, minlength=len(self.ids))
+    def choose(self, df: np.ndarray, most: float, min_seeds: int) -> None:
+        """df: the documents that hold each n-gram of table; most: as many hold a rare one. Keeps the seeds, as a sorted table with the places of each."""
+        df = df[np.searchsorted(self.table, self.hash)]
+        there = np.flatnonzero(df > 0)
+        rank = there[np.lexsort((self.hash[there], df[there], self.item[there]))]
+        count = np.bincount(self.item[there], minlength=len(self.ids))
         begin = np.cumsum(count) - count
-        place = np.empty(len(rank), np.int64)
-        place[rank] = np.arange(len(rank)) - begin[self.item[rank]]
-        seed = np.flatnonzero(place < np.maximum(min_seeds, (count[self.item] + 1) // 2))
+        place = np.arange(len(rank)) - begin[self.item[rank]]
+        seed = rank[(place < min_seeds) | (df[rank] <= most)]
         order = seed[np.argsort(self.hash[seed], kind="stable")]
         self.seed_item, self.seed_pos = self.item[order], self.pos[order]
         self.seeds, self.seed_first = np.unique(self.hash[order], return_index=True)
@@ -141,21 +143,22 @@ def counts(docs: DataFrame, items: Items) -> np.ndarray:
     return out
 
 
-def sliced(docs: DataFrame, benchmark: DataFrame, n: int, min_seeds: int, slice_bytes: int) -> Iterator[Items]:
+def sliced(docs: DataFrame, benchmark: DataFrame, n: int, rare: float, min_seeds: int, slice_bytes: int) -> Iterator[Items]:
     """The benchmark's items with their seeds, slice by slice."""
     slim = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and text <> ''")
     _, size = kit.measure(slim)
     parts = kit.parts(size, slice_bytes)
+    most = max(rare * docs.count(), 100)
     for k in range(parts if size else 0):
         rows = slim.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
         items = Items([(-1 if i is None else i) for i in rows.column("item_id").to_pylist()], rows.column("text").to_pylist(), n)
         items.null = pc.is_null(rows.column("item_id")).to_numpy()
         if len(items.table):
-            items.choose(counts(docs.select(F.col("text").cast("string").alias("text")), items), min_seeds)
+            items.choose(counts(docs.select(F.col("text").cast("string").alias("text")), items), most, min_seeds)
             yield items
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4, min_seeds: int = 12, slice_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4, rare: float = 0.01, min_seeds: int = 12, slice_bytes: int = 8 << 20) -> DataFrame:
     """A row for each document and item that align with a score of threshold or more: doc_id, item_id, score, first_word (of the stretch), seeds.
 
     An item or a document of fewer than n words is one n-gram of all its
@@ -167,7 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: f
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = []
-    for items in sliced(docs, benchmark, n, min_seeds, slice_bytes):
+    for items in sliced(docs, benchmark, n, rare, min_seeds, slice_bytes):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
@@ -180,11 +183,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: f
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4, min_seeds: int = 12, slice_bytes: int = 8 << 20) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4, rare: float = 0.01, min_seeds: int = 12, slice_bytes: int = 8 << 20) -> DataFrame:
     """The rows of docs, with all their columns, that align with no item; rows with null text stay."""
     spark = docs.sparkSession
     out = docs
-    for items in sliced(docs, benchmark, n, min_seeds, slice_bytes):
+    for items in sliced(docs, benchmark, n, rare, min_seeds, slice_bytes):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
