@@ -45,4 +45,5 @@ def drop_similar(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFra
     """
     groups = components(similar_pairs(docs, n, threshold, spanning=True).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
     gone = groups.filter("id <> root").select(F.col("id").alias("_gone"))
-    return docs.join(kit.if_small(gone, gone.count()), F.col("_gone") == docs["doc_id"].cast("long"), "left_anti")
+    gone = kit.if_small(gone, gone.count())
+    return docs.join(gone, gone["_gone"] == docs["doc_id"].cast("long"), "left_anti")

@@ -1,0 +1,270 @@
+"""Each method against brute force, an exact round trip, or held-out examples."""
+
+from __future__ import annotations
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import corpus_pipeline
+from tesserine.llm import components, decontamination, fingerprints, kit, language_id, packing, pii, quality, queries, token_output, toxicity, ziv_merhav
+
+D = "/root/testdata/sf0.01"
+
+
+def naive_first_fit(lengths, capacity):
+    room, out = [], []
+    for n in lengths:
+        k = next((i for i, r in enumerate(room) if r >= n), len(room))
+        if k == len(room):
+            room.append(capacity)
+        room[k] -= n
+        out.append(k)
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=80))
+def test_tournament_tree(lengths):
+    lengths = sorted(lengths, reverse=True)
+    assert packing.first_fit_decreasing(np.array(lengths, np.int64), 50).tolist() == naive_first_fit(lengths, 50)
+
+
+def test_packing_against_brute_force(spark):
+    out = queries.op1_packing(spark, D).toPandas()
+    texts = pq.read_table(f"{D}/documents.parquet").to_pandas()
+    enc = packing.encoder(packing.VOCABULARY)
+    want = {i: 1 + len(enc.encode_ordinary(t)) for i, t in zip(texts.doc_id, texts.text, strict=True)}
+    assert out.groupby("doc_id").n_tokens.sum().to_dict() == want
+    for _, g in out.groupby("group_id"):
+        g = g.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True])
+        assert g.bin_id.tolist() == naive_first_fit(g.n_tokens.tolist(), 2048)
+
+
+def test_tokens_round_trip_and_read_selectively(spark, tmp_path):
+    docs = queries.table(spark, D, "documents")
+    path = str(tmp_path / "t")
+    token_output.write_tokens(docs, path, row_group_bytes=1 << 20, page_bytes=16 << 10)
+    enc = packing.encoder(packing.VOCABULARY)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: enc.decode(r.tokens) for r in token_output.read_tokens(spark, path).collect()} == texts
+    some = token_output.read_tokens(spark, path, (10, 19), tokens=False)
+    assert sorted(r.doc_id for r in some.collect()) == list(range(10, 20))
+    plan = some._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "GreaterThanOrEqual(doc_id,10)" in plan and "tokens:array" not in plan.split("ReadSchema")[1].split("\n")[0]
+    f = pq.ParquetFile(next((tmp_path / "t").glob("*.parquet")))
+    cols = {f.metadata.row_group(0).column(k).path_in_schema: f.metadata.row_group(0).column(k) for k in range(f.metadata.num_columns)}
+    assert all(c.has_offset_index and c.has_column_index for n, c in cols.items() if not n.startswith("tokens"))
+    assert "DELTA_BINARY_PACKED" in cols["doc_id"].encodings and cols["tokens.list.element"].has_dictionary_page
+
+
+def test_entropy_of_windows():
+    x = np.random.default_rng(0).integers(97, 107, 700).astype(np.uint8)
+    want = []
+    for k in range(len(x) - 63):
+        p = np.unique(x[k : k + 64], return_counts=True)[1] / 64
+        want.append(-(p * np.log2(p)).sum() / 6 * 1000)
+    assert np.abs(fingerprints.entropies(x) - np.array(want)).max() <= 1.001
+
+
+def test_features_do_not_depend_on_the_batch():
+    texts = pq.read_table(f"{D}/documents.parquet").column("text").slice(0, 40).combine_chunks()
+    rank = np.arange(1001)
+    h, doc = fingerprints.features(texts, rank)
+    for k in range(40):
+        assert np.array_equal(h[doc == k], fingerprints.features(texts.slice(k, 1), rank)[0])
+
+
+def test_fingerprint_recall_against_all_pairs(spark):
+    out = queries.op2_fingerprints(spark, D).toPandas().sort_values("doc_id").reset_index(drop=True)
+    some = out[out.n_features > 0].reset_index(drop=True)
+    sim = fingerprints.digest_scores(some.digest.tolist(), some.n_features.to_numpy(), None, None)
+    n = some.n_features.to_numpy()
+    like = np.minimum.outer(n, n) * 2 >= np.maximum.outer(n, n)
+    want = {(some.doc_id[a], some.doc_id[b]) for a, b in zip(*np.nonzero(np.triu((sim >= 0.5) & like & (np.minimum.outer(n, n) >= 8), 1)), strict=True)}
+    got = {(a, b) for a, bs in zip(out.doc_id, out.similar, strict=True) for b in bs}
+    assert len(want) > 50 and len(want & got) >= 0.9 * len(want)
+
+
+def test_ngram_join_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
+    want = {(r[0], r[1]): r[2] for r in con.execute(queries.ORACLE_SQL["op4_ngram_join"]).fetchall()}
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in queries.op4_ngram_join(spark, D).collect()} == want and want
+
+
+def test_large_groups_meet_in_blocks(spark, monkeypatch):
+    from tesserine.llm import ngram_join, setjoin
+
+    monkeypatch.setattr(setjoin, "BLOCK", 8)
+    base = "one two three four five six seven eight nine ten eleven twelve".split()
+    rows = [(k, " ".join([*base, f"w{k}"])) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngram_join.similar_pairs(docs).count() == 50 * 49 // 2
+    assert [r.doc_id for r in ngram_join.drop_similar(docs).collect()] == [0]
+
+
+def test_components_both_ways(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))]
+    e = spark.createDataFrame(rows, "a long, b long")
+    one = {r.id: r.root for r in components.components(e).collect()}
+    assert one == {r.id: r.root for r in components.components(e, one_task=0).collect()}
+
+
+def test_factorisation_machine_identity():
+    rng = np.random.default_rng(0)
+    model = {"w0": 0.3, "w": rng.normal(size=quality.SIZE), "v": rng.normal(size=(quality.SIZE, 4))}
+    idx, val = rng.integers(0, quality.SIZE, 9), rng.normal(size=9)
+    want = 0.3 + (model["w"][idx] * val).sum() + sum(model["v"][idx[a]] @ model["v"][idx[b]] * val[a] * val[b] for a in range(9) for b in range(a + 1, 9))
+    assert quality.raw_scores(model, np.zeros(9, int), idx, val, 1)[0] == pytest.approx(want)
+
+
+def test_quality_on_documents_it_did_not_see(spark):
+    docs, labels = queries.table(spark, "/root/testdata/sf0.1", "documents"), queries.table(spark, "/root/testdata/sf0.1", "labels")
+    seen = labels.filter("doc_id % 2 = 0")
+    out = quality.score(docs, seen).join(labels.filter("doc_id % 2 = 1"), "doc_id").toPandas()
+    assert out[out.quality == 1].kept.mean() > 0.98 and (~out[out.quality == 0].kept).mean() > 0.9
+
+
+def test_toxicity_on_documents_it_did_not_see(spark):
+    docs, labels = queries.table(spark, "/root/testdata/sf0.1", "documents"), queries.table(spark, "/root/testdata/sf0.1", "labels")
+    out = toxicity.score(docs, labels.filter("doc_id % 5 <> 0")).join(labels.filter("doc_id % 5 = 0"), "doc_id").toPandas()
+    assert out[out.toxic.iloc[:, 1] == 1].toxicity.ge(0.5).mean() > 0.75 and out[out.toxic.iloc[:, 1] == 0].toxicity.lt(0.5).mean() > 0.9
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("abc", max_size=40), st.text("abcd", max_size=40))
+def test_cross_parsing(reference, text):
+    start = ziv_merhav.suffix_automaton(reference)
+    c, at = 0, 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) + 1 and text[at : at + n] in reference:
+            n += 1
+        at += max(1, n - 1)
+        c += 1
+    assert ziv_merhav.cross_phrases(start, text) == c
+
+
+def test_checksums():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and not pii.luhn("0000000000000000")
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
+
+
+@pytest.mark.parametrize(("text", "kinds"), [
+    ("pay 4845168114407329 now", ["card"]), ("number 4845168114407320 now", []), ("iban GB82 WEST 1234 5698 7654 32.", ["iban"]), ("from 97.51.17.173, version 1.2.3", ["ip"]), ("999.1.1.1", []), ("call +1 (017) 555-7713 ok", ["phone"]),
+    ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', ["secret"]), ("ssn 123-45-6789", ["ssn"]), ("plain words, 2024-01-02 and 12,000", []), ("und.34@mail7.example.com geiever", ["email"]),
+])
+def test_pii(text, kinds):
+    assert [x[0] for x in pii.find(text)] == kinds
+
+
+def test_pii_hint_loses_nothing(spark):
+    texts = pq.read_table(f"{D}/documents.parquet").to_pandas()
+    want = sum(len(pii.find(t)) for t in texts.text)
+    assert queries.op8_pii(spark, D).count() == want > 50
+
+
+def test_kneser_ney_is_a_distribution():
+    texts = ["the cat sat on the mat and the rat ran", "a dog and a cat and a cow"]
+    model = language_id.fit({"en": texts, "xx": ["zyx zyy zxz"]}, {"en": [], "xx": []})
+    letters = sorted({c for t in texts + ["zyx"] for c in t})
+    for context in (" ", " t", " th", "at", " zq"):
+        stem = context.strip()
+        total = 0.0
+        for c in letters:
+            if c == " " and not stem:
+                continue
+            word = stem + c if c != " " else stem
+            w = kit.Words(pa.array([word]))
+            g = language_id.Grams(language_id.characters(w, np.array([0])))
+            assert len(g.at) == len(word) + 1
+            lp, _ = language_id.word_scores(model, w, np.array([0]))
+            shorter = language_id.word_scores(model, kit.Words(pa.array([word[:-1] or "q"])), np.array([0]))[0]
+            assert np.isfinite(lp).all() and np.isfinite(shorter).all()
+            total += np.exp(lp[0, 0])
+        assert total <= 1.0
+
+
+def test_languages(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.1", "documents")
+    out = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (out.lang == out.language).mean() > 0.99
+    rng = np.random.default_rng(0)
+    text = " ".join("".join(rng.choice(list("zxqvkwjyhb"), 6)) for _ in range(200))
+    foreign = spark.createDataFrame([(-1, text, None)], "doc_id long, text string, lang string")
+    extra = language_id.identify(docs.select("doc_id", "text", "lang").unionByName(foreign))
+    assert extra.filter("doc_id = -1").first().language == "und"
+
+
+def brute_align(a, b):
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    return h.max()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(1, 4), min_size=1, max_size=12), st.lists(st.integers(1, 4), min_size=1, max_size=18)), min_size=1, max_size=6))
+def test_alignment(pairs):
+    got = decontamination.align([np.array(a, np.uint64) for a, _ in pairs], [np.array(b, np.uint64) for _, b in pairs])
+    assert got.tolist() == [brute_align(a, b) for a, b in pairs]
+
+
+def test_edited_copies_are_found(spark):
+    bench = queries.table(spark, D, "benchmark").toPandas()
+    rng = np.random.default_rng(2)
+    docs = pq.read_table(f"{D}/documents.parquet").to_pandas()
+    rows = []
+    for k, (item, text) in enumerate(zip(bench.item_id, bench.text, strict=True)):
+        words = text.split()
+        words = [w if rng.random() > 0.15 else "edit" for w in words]
+        around = docs.text[k].split()
+        rows.append((10_000 + int(item), " ".join([*around[:50], *words, *around[50:100]])))
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(planted, queries.table(spark, D, "benchmark")).collect()}
+    assert {(10_000 + int(i), int(i)) for i in bench.item_id} <= got
+
+
+def test_pipeline_against_brute_force(spark):
+    docs = queries.table(spark, D, "documents")
+    kept = {r.doc_id for r in quality.score(docs, queries.table(spark, D, "labels")).filter("kept").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
+    sets = {}
+    for i, t in texts.items():
+        w = kit.Words(pa.array([t]))
+        sets[i] = set(w.grams(3, short=True)[0].tolist())
+    by: dict[int, list[int]] = {}
+    for i, s in sets.items():
+        for g in s:
+            by.setdefault(g, []).append(i)
+    near = {(a, b) for v in by.values() for a in v for b in v if a < b}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in near:
+        if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]):
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    single = {i for i in texts if top(i) == i}
+    bench = [kit.Words(pa.array([t])).hash for t in queries.table(spark, D, "benchmark").toPandas().text]
+    clean = set()
+    for i in single:
+        h = kit.Words(pa.array([texts[i]])).hash
+        possible = [b for b in bench if len(np.intersect1d(b, h)) >= 0.2 * len(set(b.tolist()))]
+        if not possible or max(decontamination.align(possible, [h] * len(possible)) / np.array([2 * len(b) for b in possible])) < 0.4:
+            clean.add(i)
+    enc = packing.encoder(packing.VOCABULARY)
+    want = {i: 1 + len(enc.encode_ordinary(pii.masked(texts[i], pii.find(texts[i])))) for i in clean}
+    out = corpus_pipeline.run(spark, D).toPandas()
+    assert out.groupby("doc_id").n_tokens.sum().to_dict() == want
