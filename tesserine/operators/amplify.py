@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import seeded, squared_distance
+from ..functions.geometry import seeded, seeded_pair, squared_distance
 from .paths import shortest_paths
 from .spatial import radius_join
 
@@ -18,7 +18,7 @@ def cycle_pairs(points: DataFrame, edges: DataFrame, least: float, most: float,
     near = radius_join(points, points.withColumnRenamed("node_id", "query_id"), most * (1 + 1e-12) + 1e-12).filter("query_id < node_id")
     pairs = near.select(F.col("query_id").alias("u"), F.col("node_id").alias("v"), F.sqrt("d2").alias("dist")).filter(F.col("dist").between(least, most))
     known = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-    order = seeded(F.col("u") * 1000003 + F.col("v"), seed)
+    order = seeded_pair(F.col("u"), F.col("v"), seed)
     return pairs.join(known, ["u", "v"], "left_anti").orderBy(order, "u", "v").limit(count)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import seeded
+from ..functions.geometry import seeded_pair
 from ..plans.lineage import cut
 from .cost import used_edges
 
@@ -56,7 +56,7 @@ def path_nodes(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 def seeded_choice(links: DataFrame, seed: int) -> DataFrame:
     """connectivity with one of each sink's uncertain links (flag 2) made certain by a seeded draw, the others 0; ties by spring."""
-    order = Window.partitionBy("sink_id", "flag").orderBy(seeded(F.col("sink_id") * 1000003 + F.col("spring_id"), seed), "spring_id")
+    order = Window.partitionBy("sink_id", "flag").orderBy(seeded_pair(F.col("sink_id"), F.col("spring_id"), seed), "spring_id")
     ranked = links.withColumn("_r", F.row_number().over(order))
     return ranked.withColumn("flag", F.when(F.col("flag") != 2, F.col("flag")).when(F.col("_r") == 1, 1).otherwise(0)).drop("_r")
 
