@@ -37,14 +37,14 @@ PATTERNS: dict[str, tuple[re.Pattern, float, re.Pattern]] = {
     "secret": (re.compile(r"""\b(?:[A-Za-z0-9]+[_-])*(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key)\b["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9+/_=.-]{12,512})|\bAKIA[0-9A-Z]{16}\b""", re.I), 0.7, re.compile(r"key|secret|auth|login|credential", re.I)),
 }
 #: A text without any of these has no span of any kind; RE2 finds them at once.
-HINT = r"@[A-Za-z0-9-]|\d[ .()-]{0,2}\d[ .()-]{0,2}\d|(?i:token|secret|passw|key)"
+HINT = r"@[A-Za-z0-9-]|\p{Nd}[ .()-]{0,2}\p{Nd}[ .()-]{0,2}\p{Nd}|[A-Z]{2}\p{Nd}{2} ?[A-Z0-9]{4}|(?i:token|secret|passw|key|akia)"
 SPAN = "struct<kind:string,begin:int,length:int,score:double,confirmed:boolean>"
 
 
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
-        d = ord(c) - 48
+        d = int(c)
         if k % 2:
             d = 2 * d - 9 * (d > 4)
         total += d
