@@ -9,6 +9,11 @@
     ssn         0.4   no area 000, 666 or 9xx: +0.1          no span
     secret      0.7   at least 8 different characters: +0.2  -0.4
 
+Cards: in a run of digits, one blank or hyphen between any two, every stretch
+of 13 to 19 digits that begins and ends where the run is parted is tried; of
+those that Luhn confirms and that overlap, the longest stays, then the first.
+So a card is found beside other numbers.
+
 One of a kind's context words within 40 characters before or after adds 0.2; a
 span counts from a score of `threshold` on. Of spans that overlap the one with
 the higher score stays, then the longer, then the earlier.
@@ -36,6 +41,7 @@ PATTERNS: dict[str, tuple[re.Pattern, float, re.Pattern]] = {
     "ssn": (re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0.4, re.compile(r"ssn|social security|\bss\b", re.I)),
     "secret": (re.compile(r"""\b(?:[A-Za-z0-9]+[_-])*(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key)\b["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9+/_=.-]{12,512})|\bAKIA[0-9A-Z]{16}\b""", re.I), 0.7, re.compile(r"key|secret|auth|login|credential", re.I)),
 }
+RUN = re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,}")
 #: A text without any of these has no span of any kind; RE2 finds them at once.
 HINT = r"@[A-Za-z0-9-]|\p{Nd}[ .()-]{0,2}\p{Nd}[ .()-]{0,2}\p{Nd}|[A-Z]{2}\p{Nd}{2} ?[A-Z0-9]{4}|(?i:token|secret|passw|key|akia)"
 SPAN = "struct<kind:string,begin:int,length:int,score:double,confirmed:boolean>"
@@ -55,12 +61,34 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def cards(text: str) -> list[tuple[int, int]]:
+    """Begin and end of the stretches that Luhn confirms."""
+    out = []
+    for run in RUN.finditer(text):
+        parts = [(m.start(), m.end()) for m in re.compile(r"\d+").finditer(text, *run.span())]
+        found = []
+        for i, (a, _) in enumerate(parts):
+            digits = ""
+            for j in range(i, len(parts)):
+                digits += text[parts[j][0] : parts[j][1]]
+                if len(digits) > 19:
+                    break
+                if len(digits) >= 13 and luhn(digits):
+                    found.append((a - parts[j][1], i, j))
+        taken = [False] * len(parts)
+        for _, i, j in sorted(found):
+            if not any(taken[i : j + 1]):
+                taken[i : j + 1] = [True] * (j + 1 - i)
+                out.append((parts[i][0], parts[j][1]))
+    return sorted(out)
+
+
 def judge(kind: str, m: re.Match) -> tuple[float, bool] | None:
     """What the validator adds to the score, and whether it confirms; None: no span."""
     s = m.group()
     digits = re.sub(r"\D", "", s)
     if kind == "card":
-        return (0.5, True) if luhn(digits) else (-0.3, False)
+        return -0.3, False  # cards() has the confirmed ones
     if kind == "iban":
         s = s.replace(" ", "")
         return (0.6, True) if 15 <= len(s) <= 34 and mod97(s) else (-0.3, False)
@@ -81,12 +109,13 @@ def find(text: str, threshold: float = 0.5) -> list[tuple[str, int, int, float,
     for kind, (pattern, base, context) in PATTERNS.items():
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            verdict = judge(kind, m)
+        matches = [(m.span(), m.span(m.lastindex or 0) if kind == "secret" else m.span(), judge(kind, m)) for m in pattern.finditer(text)]
+        if kind == "card":
+            matches += [(x, x, (0.5, True)) for x in cards(text)]
+        for (begin, end), (a, b), verdict in matches:
             if verdict is None:
                 continue
-            a, b = m.span(m.lastindex or 0) if kind == "secret" else m.span()
-            near = context.search(text[max(0, m.start() - NEAR) : m.start()]) or context.search(text[m.end() : m.end() + NEAR])
+            near = context.search(text[max(0, begin - NEAR) : begin]) or context.search(text[end : end + NEAR])
             score = round(min(1.0, max(0.0, base + verdict[0] + 0.2 * bool(near))), 2)
             if score >= threshold:
                 found.append((kind, a, b - a, score, verdict[1]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -170,6 +172,14 @@ def test_pii_hint_loses_nothing(spark):
     assert queries.op8_pii(spark, D).count() == want > 50
 
 
+@pytest.mark.parametrize("text", [
+    "card <4111 1111 1111 1111> 12/27", "<4111111111111111> 123", "<4845168114407329> 10 items", "12 <4111 1111 1111 1111>", "order 1234567890 <4111 1111 1111 1111> 123", "<4111-1111-1111-1111> <4845168114407329> 7", "1234567 7654321 <4111111111111111>",
+])
+def test_card_beside_other_numbers(text):
+    plain = text.replace("<", "").replace(">", "")
+    assert ["<" + plain[a : a + n] + ">" for kind, a, n, _, _ in pii.find(plain) if kind == "card"] == re.findall("<[^>]+>", text)
+
+
 def iban(country, rest):
     return next(x for x in (f"{country}{k:02}{rest}" for k in range(2, 99)) if pii.mod97(x))
 
