@@ -6,8 +6,10 @@ all documents. An item's seeds are its n-grams that occur in at most a share
 the min_seeds rarest that occur at all. Where a document holds a seed, the stretch around it that could
 hold the item is cut out, hits on nearby diagonals sharing one stretch, and
 aligned word by word with the item (match 2, mismatch -1, gap -1). The score,
-over twice the item's words, is 1 for an exact copy and stays high for
-paraphrased or edited ones.
+over twice the words of the item, is 1 for an exact copy and stays high for
+paraphrased or edited ones. For copies of parts it is over twice the words of
+the document, where that is shorter than the item (LEAST words at least), and
+the score of PASSAGE matching words reaches the threshold in any case.
 
 Items are broadcast in slices of slice_bytes of text; a larger benchmark
 takes more passes, and no item is left out.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from . import kit
 
 MATCH, MISMATCH, GAP = 2, 1, 1
+PASSAGE, BLOCK, LEAST = 50, 25, 15
 SCHEMA = "doc_id long, item_id long, score double, first_word long, seeds int"
 
 
@@ -49,7 +52,12 @@ class Items:
         count = np.bincount(self.item[there], minlength=len(self.ids))
         begin = np.cumsum(count) - count
         place = np.arange(len(rank)) - begin[self.item[rank]]
-        seed = rank[(place < min_seeds) | (df[rank] <= most)]
+        block = self.pos[there] // BLOCK
+        local = np.lexsort((self.hash[there], df[there], block, self.item[there]))
+        item, block = self.item[there][local], block[local]
+        start = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (block[1:] != block[:-1])][: len(local)])
+        within = np.arange(len(local)) - np.repeat(start, np.diff(np.r_[start, len(local)]))
+        seed = np.union1d(rank[(place < min_seeds) | (df[rank] <= most)], there[local[within < 4]])
         order = seed[np.argsort(self.hash[seed], kind="stable")]
         self.seed_item, self.seed_pos = self.item[order], self.pos[order]
         self.seeds, self.seed_first = np.unique(self.hash[order], return_index=True)
@@ -113,7 +121,9 @@ def found_in(texts: pa.Array, items: Items, threshold: float) -> tuple[np.ndarra
     slack = size[item] // 3 + 4
     begin = np.maximum(diagonal[first] - slack, words.first[doc])
     end = np.minimum(diagonal[last] + size[item] + slack, words.first[doc + 1])
-    score = align([items.words[items.first[i] : items.first[i + 1]] for i in item], [words.hash[x:y] for x, y in zip(begin, end, strict=True)]) / (MATCH * np.maximum(size[item], 1))
+    score = align([items.words[items.first[i] : items.first[i + 1]] for i in item], [words.hash[x:y] for x, y in zip(begin, end, strict=True)])
+    least = np.minimum(size[item], np.maximum(np.diff(words.first)[doc], LEAST))
+    score = np.minimum(score / (MATCH * np.clip(least, 1, PASSAGE / threshold)), 1.0)
     order = np.lexsort((begin, -score, item, doc))
     order = order[score[order] >= threshold]
     best = np.ones(len(order), bool)

@@ -260,6 +260,26 @@ def test_edited_copies_are_found(spark):
     assert {(10_000 + int(i), int(i)) for i in bench.item_id} <= got
 
 
+def test_parts_of_long_items_are_found(spark):
+    texts = [w for w in (t.split() for t in pq.read_table(f"{D}/documents.parquet").column("text").to_pylist()) if len(w) > 400]
+    long = [" ".join(w[:300]) for w in texts[:3]] + [" ".join(f"w{k}" for k in range(1000))]
+    bench = spark.createDataFrame(list(enumerate(long)), "item_id long, text string")
+    around = [f"x{k}" for k in range(200)]
+    rows, want = [], set()
+    for k, item in enumerate(long):
+        for at in (0, 100, 240):
+            rows.append((len(rows), " ".join([*around, *item.split()[at : at + 55], *around])))
+            want.add((rows[-1][0], k))
+        rows.append((len(rows), " ".join(item.split()[130:155])))  # a document that is all a part
+        want.add((rows[-1][0], k))
+    many = [(1000 + k, rows[1][1]) for k in range(150)]  # as many copies make the part's n-grams no longer rare
+    clean = [(5000 + k, " ".join(around)) for k in range(20)]
+    docs = spark.createDataFrame([*rows, *many, *clean], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    assert want | {(i, 0) for i, _ in many} <= got and not [i for i, _ in got if i >= 5000]
+    assert {r.doc_id for r in decontamination.remove(docs, bench).collect()} == {i for i, _ in clean}
+
+
 def test_pipeline_against_brute_force(spark):
     docs = queries.table(spark, D, "documents")
     kept = {r.doc_id for r in quality.score(docs, queries.table(spark, D, "labels")).filter("kept").collect()}
