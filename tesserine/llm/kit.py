@@ -153,6 +153,11 @@ class Words:
         return h, doc, at
 
 
+def ranges(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each count, in a row."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
 def distinct_by_doc(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct hashes, in the order of (text, hash)."""
     order = np.lexsort((h, doc))

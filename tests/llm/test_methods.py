@@ -139,18 +139,73 @@ def test_toxicity_on_documents_it_did_not_see(spark):
     assert out[out.toxic.iloc[:, 1] == 1].toxicity.ge(0.5).mean() > 0.75 and out[out.toxic.iloc[:, 1] == 0].toxicity.lt(0.5).mean() > 0.9
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.text("abc", max_size=40), st.text("abcd", max_size=40))
-def test_cross_parsing(reference, text):
-    start = ziv_merhav.suffix_automaton(reference)
-    c, at = 0, 0
-    while at < len(text):
+def brute_phrases(texts, k):
+    own, others = texts[k], [f" {' '.join(t)} " for j, t in enumerate(texts) if j != k]
+    at = c = 0
+    while at < len(own):
         n = 1
-        while at + n < len(text) + 1 and text[at : at + n] in reference:
+        while at + n <= len(own) and any(f" {' '.join(own[at : at + n])} " in t for t in others):
             n += 1
         at += max(1, n - 1)
         c += 1
-    assert ziv_merhav.cross_phrases(start, text) == c
+    return c if any(t.strip() for t in others) or not own else -1
+
+
+def brute_own(words):
+    seen, now, c = set(), (), 0
+    for w in words:
+        now += (w,)
+        if now not in seen:
+            seen.add(now)
+            now, c = (), c + 1
+    return c + bool(now)
+
+
+@pytest.mark.parametrize("segment", [3, 256])
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcd"), max_size=24), min_size=1, max_size=7))
+def test_cross_parsing(segment, texts):
+    ziv_merhav.SEGMENT = segment
+    try:
+        n, c, own, reference = ziv_merhav.parse(pa.array([" ".join(t) for t in texts], pa.string()))
+    finally:
+        ziv_merhav.SEGMENT = 256
+    assert n.tolist() == [len(t) for t in texts] and own.tolist() == [brute_own(t) for t in texts]
+    assert c.tolist() == [brute_phrases(texts, k) for k in range(len(texts))]
+    assert [r == 0 for r in reference] == [not any(t for j, t in enumerate(texts) if j != k and (t or not texts[k])) and (texts.count(texts[k]) < 2 or not texts[k]) for k in range(len(texts))]
+
+
+def test_cross_parsing_of_a_table_against_brute_force(spark):
+    docs = queries.table(spark, D, "documents").filter("n_chars < 1500 and doc_id < 400")
+    rows = docs.collect()
+    out = {r.doc_id: r for r in ziv_merhav.score(docs, growth=1e9).collect()}
+    assert len(out) == len(rows) > 100
+    for lang in {r.lang for r in rows}:
+        own = [r for r in rows if r.lang == lang]
+        words = [re.findall("[0-9a-z\u0080-\U0010ffff]+", r.text.lower()) for r in own]
+        for k, r in enumerate(own):
+            got, n = out[r.doc_id], len(words[k])
+            copies = sum(w == words[k] for w in words) - 1
+            reference = sum(len(w) for w in {tuple(w) for w in words}) - (0 if copies else n)
+            assert (got.n_words, got.phrases, got.own_phrases, got.reference_words) == (n, brute_phrases(words, k), brute_own(words[k]), reference)
+            if n:
+                cross = got.phrases * np.log2(reference) / n
+                assert got.cross_entropy == pytest.approx(cross) and got.relative_entropy == pytest.approx(cross - got.own_phrases * np.log2(got.own_phrases) / n)
+
+
+def test_documents_that_occur_twice_are_one_phrase(spark):
+    docs = queries.table(spark, D, "documents")
+    out = ziv_merhav.score(docs, growth=128).join(docs, "doc_id").toPandas()
+    twice = out.groupby(["lang", "text"]).doc_id.transform("count") > 1
+    assert (out[twice & (out.n_words > 0)].phrases == 1).all() and (out[~twice & (out.n_words > 50)].phrases > 1).mean() > 0.9
+    assert out.groupby("lang").reference_words.median().max() < 10_000  # in many groups
+
+
+def test_a_very_long_text_is_parsed_whole():
+    words = np.random.default_rng(0).integers(0, 5000, 400_000)
+    text = " ".join(f"w{k}" for k in words)
+    n, c, own, reference = ziv_merhav.parse(pa.array([text, " ".join(f"w{k}" for k in words[1000:3000])]))
+    assert n.tolist() == [400_000, 2000] and c[1] == 1 and reference.tolist() == [2000, 400_000]
 
 
 def test_checksums():
