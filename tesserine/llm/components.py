@@ -48,7 +48,7 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
             labels = link(np.arange(len(ids)), inv[: len(v)], inv[len(v) :])
             return pa.table({"id": ids, "root": ids[labels]})
 
-        return kit.cut(e.groupBy(F.lit(0).alias("_one")).applyInArrow(join_up, "id long, root long"))
+        return kit.cut(e.groupBy(F.lit(0).alias("_one")).applyInArrow(kit.groupwise(join_up), "id long, root long"))
     before = None
     while True:
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))

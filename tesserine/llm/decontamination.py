@@ -148,7 +148,7 @@ def counts(docs: DataFrame, items: Items) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
 
     out = np.zeros(len(items.table), np.int64)
-    sums = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # no more rows than the slice has n-grams
+    sums = docs.mapInArrow(kit.batchwise(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # no more rows than the slice has n-grams
     out[sums.column("gram").to_numpy()] = sums.column("n").to_numpy()
     return out
 
@@ -189,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: f
                 doc, item, score, first, seeds = found_in(b.column("text"), items, threshold)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(items.ids[item], mask=items.null[item]), pa.array(score), pa.array(first.astype(np.int64)), pa.array(seeds.astype(np.int32))], ["doc_id", "item_id", "score", "first_word", "seeds"])
 
-        found.append(slim.mapInArrow(run, SCHEMA))
+        found.append(slim.mapInArrow(kit.batchwise(run), SCHEMA))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
 
 
@@ -207,5 +207,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float =
                 keep[found_in(pc.cast(b.column("text"), pa.string()), items, threshold)[0]] = False
                 yield b.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(kit.batchwise(run), docs.schema)
     return out

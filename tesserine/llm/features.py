@@ -72,7 +72,7 @@ def matching(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def train_in_one_task(rows: DataFrame, fit, schema: str):
     """fit(table) run by one executor task on all rows, a bounded sample; its one row."""
-    return rows.groupBy(F.lit(0).alias("_one")).applyInArrow(lambda t: fit(t), schema).first()
+    return rows.groupBy(F.lit(0).alias("_one")).applyInArrow(kit.groupwise(fit), schema).first()
 
 
 def joined(parts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:

@@ -149,7 +149,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS + 1)), pa.array(total)], ["e", "n"])
 
     n = np.zeros(STEPS + 1, np.int64)
-    for row in docs.mapInArrow(count, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).collect():  # STEPS + 1 rows
+    for row in docs.mapInArrow(kit.batchwise(count), "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).collect():  # STEPS + 1 rows
         n[row.e] = row.n
     rank = np.empty(STEPS + 1, np.int32)
     rank[np.lexsort((np.arange(STEPS + 1), n))] = np.arange(STEPS + 1)
@@ -186,7 +186,7 @@ def fingerprints(docs: DataFrame, threshold: float = 0.5, shared: float = 0.2) -
         own = b.column("features").to_pylist()
         return kit.distinct_by_doc(np.frombuffer(b"".join(own), U64), np.repeat(np.arange(len(own)), [len(x) // 8 for x in own]))
 
-    found = kit.cut(slim.mapInArrow(find, "doc_id long, n_features long, features binary, digest binary"))
+    found = kit.cut(slim.mapInArrow(kit.batchwise(find), "doc_id long, n_features long, features binary, digest binary"))
     total = found.agg(F.sum("n_features")).first()[0] or 0
     sets = shared_sets(found.select("doc_id", "features"), "features", tokens, total, shared)
     roots = components(candidates(sets, shared))

@@ -10,7 +10,9 @@ A null text has no words.
 
 from __future__ import annotations
 
+import ctypes
 import math
+import re
 import tempfile
 
 import numpy as np
@@ -26,16 +28,23 @@ SALTS = np.array([(0xD6E8FEB86659FD93 * (2 * k + 1) ^ 0xA0761D6478BD642F) & (2**
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(65, 91), *range(128, 256)]] = True
 _powers: dict[str, np.ndarray] = {}
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # not glibc
+    _libc = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests, one machine) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset and all runs in one process (tests) a temporary one; on a cluster without that setting, ValueError."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return place or now.get()
     if place is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = tempfile.mkdtemp(prefix="tesserine-")
     sc.setCheckpointDir(place)
     return place
@@ -47,6 +56,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy() -> None:
+    """Gives memory that a worker no longer uses back to the system; a worker lives on for later stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def batch_rows(spark: SparkSession, most: int = 1000) -> None:
+    """Has Arrow batches hold `most` rows instead of Spark's 10000, as rows hold whole texts; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(most))
+
+
+def batchwise(run):
+    """run, a function for mapInArrow, in small batches, and the worker's memory tidied at a partition's end."""
+    batch_rows(SparkSession.active())
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return tidied
+
+
+def groupwise(run):
+    """run, a function for applyInArrow, the worker's memory tidied after each group."""
+    batch_rows(SparkSession.active())
+
+    def tidied(t: pa.Table) -> pa.Table:
+        try:
+            return run(t)
+        finally:
+            tidy()
+
+    return tidied
+
+
 SMALL = 2_000_000  # rows of a name and two or three integers that may be broadcast
 
 

@@ -79,7 +79,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             n = [0 if t is None else 1 + len(enc.encode_ordinary(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pc.cast(b.column("doc_id"), pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(kit.batchwise(count), "doc_id long, n_tokens long")
 
 
 def pack(docs: DataFrame, capacity: int = 2048, group_docs: int = 4096, seed: int = 17, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -124,4 +124,4 @@ def pack(docs: DataFrame, capacity: int = 2048, group_docs: int = 4096, seed: in
             "first_token": pa.array((piece * capacity).astype(np.int64)), "n_tokens": pa.array(length.astype(np.int64)), "bin_tokens": pad(full[at]),
         })
 
-    return counted.groupBy("group_id").applyInArrow(one, SCHEMA)
+    return counted.groupBy("group_id").applyInArrow(kit.groupwise(one), SCHEMA)

@@ -160,7 +160,7 @@ def spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
             cols = list(zip(*found, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()), strict=True)), pa.array(value, pa.string())], ["doc_id", "kind", "begin", "length", "score", "confirmed", "value"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, kind string, begin int, length int, score double, confirmed boolean, value string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(kit.batchwise(run), "doc_id long, kind string, begin int, length int, score double, confirmed boolean, value string")
 
 
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -187,4 +187,4 @@ def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                     b = b.set_column(c, b.schema.field(c), put(b.column(c), pa.array([len(changed[k]) for k in sorted(changed)], b.schema.field(c).type)))
             yield b
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(kit.batchwise(run), schema)

@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, seed: int =
         return pa.table({"model": [pickle.dumps(fit_machine(t.column("y").to_numpy().astype(float), doc, idx, val, stats, seed=seed))]})
 
     sample = matching(prepared(docs).filter("text is not null"), ids.select("doc_id", "y")).select("doc_id", "text", "source", "lang", "y")
-    row = train_in_one_task(sample.mapInArrow(rows, "y int, idx binary, val binary, stats binary"), fit, "model binary")
+    row = train_in_one_task(sample.mapInArrow(kit.batchwise(rows), "y int, idx binary, val binary, stats binary"), fit, "model binary")
     return pickle.loads(row.model) if row else None
 
 
@@ -181,7 +181,7 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             keep = ~null & ((p >= model["threshold"]) if model else True)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, mask=null | (model is None)), pa.array(keep)], ["doc_id", "quality_score", "kept"])
 
-    return prepared(docs).mapInArrow(run, "doc_id long, quality_score double, kept boolean")
+    return prepared(docs).mapInArrow(kit.batchwise(run), "doc_id long, quality_score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -200,4 +200,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
                 keep &= probabilities(pa.RecordBatch.from_arrays([text, own("source"), own("lang")], ["text", "source", "lang"]), model) >= model["threshold"]
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kit.batchwise(run), docs.schema)

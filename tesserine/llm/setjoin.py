@@ -106,8 +106,8 @@ def shared_sets(rows: DataFrame, column: str, tokenise: Tokenise, tokens: int, t
         some = np.flatnonzero((live > 0) & (n > 0))
         return pa.table({"doc_id": ids[some], "n": n[some], "own": own[some].astype(np.int32), "live": live[some].astype(np.int32), "near": pa.array([near[k].tobytes() for k in some], pa.binary()), "keys": pa.array([key[at[k] : at[k + 1]].tobytes() for k in some], pa.binary())})
 
-    counted = rows.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).mapInArrow(spread, PACK).groupBy("bucket").applyInArrow(count, PACK)
-    return kit.cut(counted.groupBy("batch").applyInArrow(gather, "doc_id long, n int, own int, live int, near binary, keys binary"))
+    counted = rows.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).mapInArrow(kit.batchwise(spread), PACK).groupBy("bucket").applyInArrow(kit.groupwise(count), PACK)
+    return kit.cut(counted.groupBy("batch").applyInArrow(kit.groupwise(gather), "doc_id long, n int, own int, live int, near binary, keys binary"))
 
 
 def packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -158,7 +158,7 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
         some = np.flatnonzero(labels != np.arange(len(ids)))
         return pa.table({"a": ids[some], "b": ids[labels[some]]})
 
-    return sets.mapInArrow(prefixes, "part int, key long, doc_id long, n int, pos int, near binary").groupBy("part").applyInArrow(meet, "a long, b long")
+    return sets.mapInArrow(kit.batchwise(prefixes), "part int, key long, doc_id long, n int, pos int, near binary").groupBy("part").applyInArrow(kit.groupwise(meet), "a long, b long")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -234,7 +234,7 @@ def verified(payload: DataFrame, size: str, roots: DataFrame, similarity: Callab
         a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"a": a[a != b], "b": b[a != b], "similarity": s[a != b]})
 
-    return spread.groupBy("part").applyInArrow(meet, "a long, b long, similarity double")
+    return spread.groupBy("part").applyInArrow(kit.groupwise(meet), "a long, b long, similarity double")
 
 
 def set_join(rows: DataFrame, column: str, tokenise: Tokenise, tokens: int, threshold: float, spanning: bool = False) -> DataFrame:

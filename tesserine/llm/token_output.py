@@ -45,7 +45,7 @@ def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n, mask=null), lists], ["doc_id", "source", "lang", "n_bytes", "n_tokens", "tokens"])
 
     named = {c: (F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in (("doc_id", "long"), ("source", "string"), ("lang", "string"), ("text", "string"))}
-    return docs.select(*named.values()).sortWithinPartitions("doc_id").mapInArrow(encode, SCHEMA)
+    return docs.select(*named.values()).sortWithinPartitions("doc_id").mapInArrow(kit.batchwise(encode), SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, dictionary: bool = True) -> None:

@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_po
         idx, doc = joined(names, np.int32)
         return pa.table({"model": [pickle.dumps(fit_nnpu(positive, doc, idx, prior, seed=seed))]})
 
-    row = train_in_one_task(matching(slim, ids).select("p", "text").mapInArrow(rows, "p boolean, idx binary"), fit, "model binary")
+    row = train_in_one_task(matching(slim, ids).select("p", "text").mapInArrow(kit.batchwise(rows), "p boolean, idx binary"), fit, "model binary")
     return pickle.loads(row.model) if row else None
 
 
@@ -165,7 +165,7 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
                 p = sigmoid(sum_by(doc, w[idx], b.num_rows) + model["b"] - model["threshold"])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, mask=none), pa.array((p >= 0.5) & ~none)], ["doc_id", "toxicity", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, toxicity double, toxic boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(kit.batchwise(run), "doc_id long, toxicity double, toxic boolean")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -231,14 +231,14 @@ def score(docs: DataFrame, growth: float = GROWTH) -> DataFrame:
                 t = pa.table([b.column("lang"), like, whole, pc.cast(pc.fill_null(pc.binary_length(b.column("text")), 0), pa.int64())], names=["lang", "like", "whole", "b"]).group_by(["lang", "like", "whole"]).aggregate([("b", "sum"), ("b", "count")])
                 yield from t.rename_columns(["lang", "like", "whole", "b", "n"]).combine_chunks().to_batches()
 
-    wholes = kit.cut(slim.mapInArrow(lambda batches: sign(batches, False), "lang string, like long, whole long, b long, n long").groupBy("lang", "like", "whole").agg(F.sum("b").alias("b"), F.sum("n").alias("n")))
+    wholes = kit.cut(slim.mapInArrow(kit.batchwise(lambda batches: sign(batches, False)), "lang string, like long, whole long, b long, n long").groupBy("lang", "like", "whole").agg(F.sum("b").alias("b"), F.sum("n").alias("n")))
     per_lang = wholes.groupBy("lang").agg(F.sum("b").alias("_b")).select("lang", F.greatest(F.lit(1.0), growth * F.cbrt("_b")).alias("_size"), "_b").withColumn("_groups", F.greatest(F.lit(1), F.ceil(F.col("_b") / F.col("_size"))).cast("long")).drop("_b")
     per_lang = kit.cut(per_lang)
     sized = kit.if_small(per_lang, per_lang.count())
     likes = kit.cut(wholes.groupBy("lang", "like").agg(F.sum("b").alias("b")).join(sized, "lang").filter("b > _size").select("lang", "like", F.lit(True).alias("_parted")))
     times = F.least(F.ceil(F.col("b") / F.col("_size")), F.floor(F.col("n") / TOGETHER)).cast("long")
     many = kit.cut(wholes.join(sized, "lang").select("lang", "like", "whole", times.alias("_times")).filter("_times > 1"))
-    rows = slim.mapInArrow(lambda batches: sign(batches, True), "doc_id long, text string, lang string, like long, whole long")
+    rows = slim.mapInArrow(kit.batchwise(lambda batches: sign(batches, True)), "doc_id long, text string, lang string, like long, whole long")
     rows = rows.join(sized, "lang").join(kit.if_small(likes, likes.count()), ["lang", "like"], "left").join(kit.if_small(many, many.count()), ["lang", "like", "whole"], "left")
     key = F.xxhash64("like", F.when(F.col("_parted"), F.col("whole")).otherwise(0), F.when(F.col("_times").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("_times"))).otherwise(0))
     grouped = rows.withColumn("part", F.pmod(key, F.col("_groups"))).select("doc_id", "text", "lang", "part")
@@ -251,4 +251,4 @@ def score(docs: DataFrame, growth: float = GROWTH) -> DataFrame:
         none = (n == 0) | (c < 0)
         return pa.table([t.column("doc_id"), pa.array(n), pa.array(c, mask=c < 0), pa.array(own), pa.array(reference), pa.array(cross, mask=none), pa.array(relative, mask=none)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return grouped.groupBy("lang", "part").applyInArrow(one, SCHEMA)
+    return grouped.groupBy("lang", "part").applyInArrow(kit.groupwise(one), SCHEMA)
