@@ -30,13 +30,6 @@ def link(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, smallest id of its component) of the components with more than one of ids, which are ascending."""
-    labels = link(np.arange(len(ids)), a, b)
-    some = np.flatnonzero(labels != np.arange(len(ids)))
-    return ids[some], ids[labels[some]]
-
-
 def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """id and root, the component's smallest id, of every node of edges(a, b). Loops and repeats do no harm; no edges, no rows."""
     e = kit.cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v > u").distinct())

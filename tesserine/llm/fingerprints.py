@@ -7,10 +7,17 @@ first of lowest rank gets a point; windows with 16 points or more are the
 document's features. Windows of very low entropy get none.
 
 Features enter Bloom filters of 2048 bits by five hashes, 160 to a filter, a
-full one followed by another: the digest. Two filters' similarity is the
-overlap of their bits above what chance gives, over the most that it could
-be; two digests', the mean over the filters of the shorter of the best match
-in the other, from 0 to 1.
+full one followed by another: the digest. What a filter has in common with
+another is the overlap of their bits above what chance gives, over the most
+that it could be, 0 up to CHANCE of that. The similarity of two digests is
+the mean, over the features of the one with more of them, of what their
+filters have in common with the other's best matching filter: the share of
+the larger document that the smaller one covers, from 0 to 1.
+
+A digest similarity of t needs about t times the larger one's features in
+common, hence a Jaccard similarity of the features of t / (2 - t) or more.
+Digests are compared wherever documents hang together by a Jaccard similarity
+of 0.4 t, which leaves room for what chance adds.
 """
 
 from __future__ import annotations
@@ -22,10 +29,10 @@ from pyspark.sql import functions as F
 
 from . import kit
 from .components import components
-from .setjoin import candidates, shared_sets, verified
+from .setjoin import candidates, shared_sets, twins, verified
 
 WINDOW, RUN, POINTS = 64, 64, 16
-BITS, HASHES, FULL, LEAST = 2048, 5, 160, 8
+BITS, HASHES, FULL, CHANCE = 2048, 5, 160, 0.3
 STEPS, WEAK = 1000, 100
 U64 = kit.U64
 #: c * log2(c) in units of 2**-24, whole numbers so that sums don't depend on their order
@@ -98,42 +105,44 @@ def digest(h: np.ndarray) -> np.ndarray:
 
 
 def digest_scores(left: list[bytes], n_left: np.ndarray, right: list[bytes] | None, n_right: np.ndarray | None) -> np.ndarray:
-    """Similarity of every digest of left with every one of right, or of left."""
+    """Similarity of every digest of left with every one of right, or of left; n_left and n_right are their numbers of features."""
 
     def unpack(digests: list[bytes], n: np.ndarray):
-        rows = [len(d) // (BITS // 8) for d in digests]
+        rows = np.array([len(d) // (BITS // 8) for d in digests], np.int64)
         of = np.repeat(np.arange(len(digests)), rows)
-        place = np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)
         bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.float32)
-        count = np.minimum(FULL, n[of] - place * FULL)
-        use = (count >= LEAST) | (place == 0)
-        return bits[use], of[use], count[use]
+        return bits, of, np.minimum(FULL, n[of] - kit.ranges(rows) * FULL)
 
     a, of_a, n_a = unpack(left, n_left)
     b, of_b, n_b = (a, of_a, n_a) if right is None else unpack(right, n_right)
-    ones_a, ones_b = a.sum(1), b.sum(1)
-    stay = lambda n: (1 - 1 / BITS) ** (HASHES * n)
-    m, k = len(left), len(left) if right is None else len(right)
-    rows_a, rows_b = np.bincount(of_a, minlength=m), np.bincount(of_b, minlength=k)
-    first_b = np.flatnonzero(np.r_[True, of_b[1:] != of_b[:-1]]) if len(of_b) else np.empty(0, np.int64)
-    first_a = np.flatnonzero(np.r_[True, of_a[1:] != of_a[:-1]]) if len(of_a) else np.empty(0, np.int64)
-    out = np.zeros((m, k))
+    n_right = n_left if right is None else n_right
+    out = np.zeros((len(n_left), len(n_right)))
     if not len(of_a) or not len(of_b):
         return out
-    sims = np.empty((len(a), len(b)), np.float32)
-    for x in range(0, len(a), 512):
-        y = min(x + 512, len(a))
+    ones_a, ones_b = a.sum(1), b.sum(1)
+    stay = lambda n: (1 - 1 / BITS) ** (HASHES * n)
+    first_a, first_b = (np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) for of in (of_a, of_b))
+    by_a, by_b = np.empty((len(a), len(first_b)), np.float32), np.zeros((len(first_a), len(b)), np.float32)
+    ends = np.r_[first_a[1:], len(a)]
+    x = 0
+    while x < len(a):  # whole digests of left, about 512 filters of theirs at once
+        k = int(np.searchsorted(first_a, x))
+        last = max(k, int(np.searchsorted(ends, x + 512, "right")) - 1)
+        y = int(ends[last])
         over = a[x:y] @ b.T
         chance = BITS * (1 - stay(n_a[x:y, None]) - stay(n_b[None, :]) + stay(n_a[x:y, None] + n_b[None, :]))
-        most = np.minimum(ones_a[x:y, None], ones_b[None, :])
-        cutoff = chance + 0.3 * np.maximum(most - chance, 0)
-        sims[x:y] = np.clip((over - cutoff) / np.maximum(most - cutoff, 1e-6), 0, 1)
-    best_a = np.add.reduceat(np.maximum.reduceat(sims, first_b, axis=1), first_a, axis=0)  # sum over own filters of the best in the other
-    best_b = np.add.reduceat(np.maximum.reduceat(sims, first_a, axis=0), first_b, axis=1)
-    some_a, some_b = np.flatnonzero(rows_a), np.flatnonzero(rows_b)
-    ra, rb = rows_a[some_a][:, None], rows_b[some_b][None, :]
-    score = np.where(ra < rb, best_a / ra, np.where(ra > rb, best_b / rb, np.minimum(best_a / ra, best_b / rb)))
-    out[np.ix_(some_a, some_b)] = score
+
+        def share(ones: np.ndarray, over: np.ndarray = over, chance: np.ndarray = chance) -> np.ndarray:
+            least = chance + CHANCE * np.maximum(ones - chance, 0)
+            return np.clip((over - least) / np.maximum(ones - least, 1e-6), 0, 1)
+
+        by_a[x:y] = np.maximum.reduceat(share(ones_a[x:y, None]), first_b, axis=1)
+        by_b[k : last + 1] = np.maximum.reduceat(share(ones_b[None, :]), first_a[k : last + 1] - x, axis=0)
+        x = y
+    some_a, some_b = of_a[first_a], of_b[first_b]
+    na, nb = n_left[some_a][:, None], n_right[some_b][None, :]
+    a_in_b, b_in_a = np.add.reduceat(by_a * n_a[:, None], first_a, axis=0) / na, np.add.reduceat(by_b * n_b[None, :], first_b, axis=1) / nb
+    out[np.ix_(some_a, some_b)] = np.where(na > nb, a_in_b, np.where(na < nb, b_in_a, np.minimum(a_in_b, b_in_a)))
     return out
 
 
@@ -157,15 +166,12 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return rank
 
 
-def fingerprints(docs: DataFrame, threshold: float = 0.5, shared: float = 0.2) -> DataFrame:
+def fingerprints(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, n_features, n_filters, digest, and similar: the doc_ids, ascending, whose digests have a similarity of threshold or more.
 
-    Digests are compared where documents hang together by a Jaccard similarity
-    of their features of `shared` or more; a digest similarity of 0.5 between
-    documents of like length is well above that.
-
     Null texts and texts with no feature, such as those under 127 bytes: 0
-    features, 0 filters, an empty digest, similar to nothing. Null doc_id:
+    features, 0 filters, an empty digest, similar to nothing. Very long texts have as many filters as their
+    features need. A similarity equal to the threshold counts. Null doc_id:
     digested, but in no list, and with an empty one. Repeated rows have the
     same digest; no doc_id is in its own list, and the rows of one doc_id have
     the same list. An empty table gives no rows. Other columns are ignored,
@@ -188,14 +194,15 @@ def fingerprints(docs: DataFrame, threshold: float = 0.5, shared: float = 0.2) -
 
     found = kit.cut(slim.mapInArrow(kit.batchwise(find), "doc_id long, n_features long, features binary, digest binary"))
     total = found.agg(F.sum("n_features")).first()[0] or 0
-    sets = shared_sets(found.select("doc_id", "features"), "features", tokens, total, shared)
-    roots = components(candidates(sets, shared))
+    sets = shared_sets(found.select("doc_id", "features"), "features", tokens, total, 0.4 * threshold)
+    roots = components(candidates(sets, 0.4 * threshold))
 
     def similarity(left: pa.Table, right: pa.Table | None) -> np.ndarray:
         read = lambda t: (t.column("digest").to_pylist(), t.column("n_features").to_numpy())
         return digest_scores(*read(left), *((None, None) if right is None else read(right)))
 
-    pairs = verified(found.filter("doc_id is not null and n_features > 0").select("doc_id", "n_features", "digest"), "digest", roots, similarity, threshold)
+    digests = found.filter("doc_id is not null and n_features > 0").select("doc_id", "n_features", "digest")
+    pairs = verified(digests, "digest", roots, twins(digests, "digest"), similarity, threshold)
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lists = both.groupBy(F.col("a").alias("_id")).agg(F.array_sort(F.collect_set("b")).alias("similar"))
     out = found.join(lists, F.col("doc_id") == F.col("_id"), "left")

@@ -28,7 +28,7 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, spanning:
     even each other. Rows with null doc_id can't be named and are left out.
     Where a doc_id has several rows, a pair has its most similar rows' value,
     and no document is paired with itself. Similarity equal to the threshold
-    counts. An empty table gives no rows. Other columns are ignored, whatever
+    counts. Very long texts count whole. An empty table gives no rows. Other columns are ignored, whatever
     their names. With spanning, only as many pairs as join up the same
     groups, with no meaning in jaccard.
     """
@@ -41,7 +41,9 @@ def drop_similar(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFra
     """docs, with all columns, without the documents of each group of similar ones but that with the smallest doc_id.
 
     A group is a connected component of similar_pairs. Rows with null doc_id
-    or null text stay; the rows of one doc_id stay or go together.
+    or null text, or with a text without words, stay; the rows of one doc_id
+    stay or go together. A similarity equal to the threshold joins. Very long
+    texts count whole. An empty table gives no rows.
     """
     groups = components(similar_pairs(docs, n, threshold, spanning=True).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
     gone = groups.filter("id <> root").select(F.col("id").alias("_gone"))

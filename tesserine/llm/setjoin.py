@@ -12,9 +12,11 @@
    (positional filter), and if the counts of both sets' tokens in eight parts
    of the token space do (suffix filter: a lower bound of the symmetric
    difference).
-3. Candidates that hang together form components. The sets of a component
+3. Of sets that are the same, one stands for all.
+4. Candidates that hang together form components. The sets of a component
    meet in one place, or, where it is large, in pairs of blocks of its sets,
-   and every pair's intersection is counted once, exactly.
+   and every pair's intersection is counted once, over whole sets. Tokens are
+   compared by 58 bits there.
 
 Nothing is capped: a frequent token in a prefix yields all its pairs.
 """
@@ -115,25 +117,81 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["bucket", "batch", "low", "high", "code", "doc"])
 
 
+PAIRS = 1 << 21  # as many pairs are looked at together
+
+
 def candidate_edges(key: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.ndarray, near: np.ndarray, threshold: float, labels: np.ndarray) -> np.ndarray:
-    """labels after joining the candidates among prefix tokens; doc are places in labels."""
-    order = np.lexsort((n, key))
-    key, doc, n, pos, near = key[order], doc[order], n[order].astype(np.int64), pos[order], near[order]
-    end = np.searchsorted(key, key, "right")
-    alive, step = np.arange(len(key)), 0
-    while len(alive):
-        step += 1
-        alive = alive[alive + step < end[alive]]
-        # a pair's shorter set is at i; beyond the length filter all later ones are too long as well
-        alive = alive[n[alive] >= at_least(threshold, n[alive + step])]
-        i, j = alive, alive + step
+    """labels after joining the candidates among prefix tokens; doc are places in labels.
+
+    Length and positional filter need nothing but n and pos, so they are put to
+    classes of documents with the same, not to pairs. A key whose documents
+    are already joined up is done; so a token of g like documents takes g steps
+    and not g squared.
+    """
+    order = np.lexsort((pos, n, key))
+    key, doc, n, pos, near = key[order], doc[order], n[order].astype(np.int64), pos[order].astype(np.int64), near[order]
+    part = threshold / (1 + threshold)
+    new_key = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    first = np.flatnonzero(new_key | np.r_[True, (n[1:] != n[:-1]) | (pos[1:] != pos[:-1])][: len(key)])
+    size = np.diff(np.r_[first, len(key)])
+    cn, cpos, of_key = n[first], pos[first], (np.cumsum(new_key) - 1)[first]
+    end = np.searchsorted(of_key, of_key, "right")
+    key_first = np.flatnonzero(new_key)
+
+    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.minimum(cn[i] - cpos[i], cn[j] - cpos[j]) >= at_least(part, cn[i] + cn[j])
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal labels
         new = labels[doc[i]] != labels[doc[j]]
         i, j = i[new], j[new]
-        need = at_least(threshold / (1 + threshold), n[i] + n[j])
-        ok = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= need
-        i, j, need = i[ok], j[ok], need[ok]
-        ok = np.abs(near[i] - near[j]).sum(1) <= n[i] + n[j] - 2 * need
-        labels = link(labels, doc[i[ok]], doc[j[ok]])
+        if len(i):
+            ok = np.abs(near[i] - near[j]).sum(1) <= n[i] + n[j] - 2 * at_least(part, n[i] + n[j])
+            labels = link(labels, doc[i[ok]], doc[j[ok]])
+
+    def apart(of: np.ndarray) -> np.ndarray:
+        """Whether documents of the keys at hand are still apart."""
+        own = labels[doc]
+        return (np.minimum.reduceat(own, key_first) != np.maximum.reduceat(own, key_first))[of]
+
+    if len(key):  # each with the next of its class; then what is left
+        same = np.flatnonzero(np.r_[np.repeat(np.arange(len(first)), size)[1:] == np.repeat(np.arange(len(first)), size)[:-1], False])
+        c = np.searchsorted(first, same, "right") - 1
+        same = same[fits(c, c)]
+        join(same, same + 1)
+    alive, step = np.arange(len(first)), 0
+    while len(alive):
+        if step & (step - 1) == 0:
+            alive = alive[apart(of_key[alive])]
+        alive = alive[alive + step < end[alive]]
+        # a pair's shorter set is at alive; beyond the length filter all later ones are too long as well
+        alive = alive[cn[alive] >= at_least(threshold, cn[alive + step])]
+        i = alive[fits(alive, alive + step)]
+        if step == 0:
+            i = i[size[i] > 1]
+        total = size[i] * size[i + step]
+        for wide in (False, True):
+            own = i[(total > PAIRS // 16) == wide]
+            if not len(own):
+                continue
+            if wide:  # one class after the other, some of its documents at a time
+                for c in own.tolist():
+                    d, rows = c + step, max(1, PAIRS // int(size[c + step]))
+                    for x in range(first[c], first[c] + size[c], rows):
+                        members = labels[doc[np.r_[x : first[c] + size[c], first[d] : first[d] + size[d]]]]
+                        if members.min() == members.max():
+                            break
+                        y = min(x + rows, first[c] + size[c])
+                        k, m = np.repeat(np.arange(x, y), size[d]), np.tile(np.arange(first[d], first[d] + size[d]), y - x)
+                        join(k[k < m], m[k < m])
+                continue
+            each = size[own] * size[own + step]
+            for some in np.split(own, np.flatnonzero(np.diff(np.cumsum(each) // PAIRS)) + 1):
+                each = size[some] * size[some + step]
+                at, row = kit.ranges(each), np.repeat(np.arange(len(some)), each)
+                k, m = first[some][row] + at // size[some + step][row], first[some + step][row] + at % size[some + step][row]
+                join(k[k < m], m[k < m])
+        step += 1
     return labels
 
 
@@ -197,12 +255,40 @@ def of_sets():
     return similarity
 
 
-def verified(payload: DataFrame, size: str, roots: DataFrame, similarity: Callable[[pa.Table, pa.Table | None], np.ndarray], threshold: float, spanning: bool = False) -> DataFrame:
+def twins(rows: DataFrame, column: str) -> DataFrame:
+    """doc_id and rep, the smallest doc_id with the same binary column, of those that aren't that one. Documents of several rows that differ are left out."""
+    both = rows.select("doc_id", F.xxhash64(column).alias("_x"), F.xxhash64(F.lit(1), column).alias("_y"))
+    single = both.groupBy("doc_id").agg(F.min(F.struct("_x", "_y")).alias("_h"), F.max(F.struct("_x", "_y")).alias("_g")).filter("_h = _g")
+    groups = single.groupBy("_h").agg(F.min("doc_id").alias("rep"), F.collect_list("doc_id").alias("_ids")).filter(F.size("_ids") > 1)
+    return kit.cut(groups.select("rep", F.explode("_ids").alias("doc_id")).filter("doc_id <> rep").select("doc_id", "rep"))
+
+
+def verified(payload: DataFrame, size: str, roots: DataFrame, same: DataFrame, similarity: Callable[[pa.Table, pa.Table | None], np.ndarray], threshold: float, spanning: bool = False) -> DataFrame:
     """a < b and similarity of the pairs of payload rows in the same component that reach the threshold.
 
     payload has doc_id and what similarity() needs; size is its binary
-    column. With spanning, only as many pairs as join up the same documents.
+    column; same are the twins, which have the similarities of their rep, and
+    1 to each other. With spanning, only as many pairs as join up the same
+    documents.
     """
+    n_same = same.count()
+    gone = kit.if_small(same.select(F.col("doc_id").alias("id")), n_same)
+    pairs = among(payload, size, roots.join(gone, "id", "left_anti"), similarity, threshold, spanning)
+    if spanning:
+        return pairs.unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
+    if not n_same:
+        return pairs
+    groups = kit.cut(same.groupBy("rep").agg(F.array_append(F.collect_list("doc_id"), F.first("rep")).alias("ids")))
+    groups = kit.if_small(groups, n_same)
+    of = lambda c: groups.select(F.col("rep").alias(c), F.col("ids").alias(f"_{c}"))
+    spread = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    spread = spread.select(F.explode(F.coalesce("_a", F.array("a"))).alias("a"), "b", "_b", "similarity").select("a", F.explode(F.coalesce("_b", F.array("b"))).alias("b"), "similarity")
+    within = groups.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"), F.lit(1.0).alias("similarity")).filter("a < b")
+    return spread.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").unionByName(within)
+
+
+def among(payload: DataFrame, size: str, roots: DataFrame, similarity: Callable[[pa.Table, pa.Table | None], np.ndarray], threshold: float, spanning: bool) -> DataFrame:
+    """verified() without twins."""
     sized = kit.cut(roots.join(roots.groupBy("root").count(), "root").select("id", "root", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     rows = sized.count()
     groups = kit.parts(payload.agg(F.sum(F.octet_length(size))).first()[0] or 0, 4 << 20)
@@ -243,5 +329,6 @@ def set_join(rows: DataFrame, column: str, tokenise: Tokenise, tokens: int, thre
         raise ValueError("threshold must be above 0, and 1 at most")
     sets = shared_sets(rows, column, tokenise, tokens, threshold)
     roots = components(candidates(sets, threshold))
-    pairs = verified(sets.select("doc_id", "n", "keys"), "keys", roots, of_sets(), threshold, spanning)
+    same = twins(sets.filter("own = 0"), "keys")
+    pairs = verified(sets.select("doc_id", "n", "keys"), "keys", roots, same, of_sets(), threshold, spanning)
     return pairs if spanning else pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
