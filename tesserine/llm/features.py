@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import kit
 
@@ -60,14 +60,35 @@ def structure(raw: np.ndarray, off: np.ndarray, words: kit.Words, distinct: np.n
     return out.astype(np.float32)
 
 
-def first_ids(ids: DataFrame, most: int, seed: int) -> DataFrame:
-    """At most `most` distinct doc_id of ids, evenly drawn by hash; the same at every run."""
-    return ids.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+def lowest(rows: DataFrame, share: float, seed: int) -> DataFrame:
+    """About that share of rows: those whose hash of doc_id is lowest."""
+    return rows if share >= 1 else rows.filter(F.xxhash64("doc_id", F.lit(seed)) < F.lit(int(-(2**63) + 2**64 * share)))
 
 
-def matching(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids, of which there are few enough to broadcast by first_ids' bound."""
-    return docs.join(F.broadcast(ids), "doc_id")
+def first_ids(ids: DataFrame, most: int, seed: int, but: DataFrame | None = None) -> DataFrame:
+    """The `most` distinct doc_id of ids with the lowest hashes, without those in but: an even draw, the same at every run.
+
+    Only about eight times as many as are asked for are made distinct and
+    sorted; if repeated ids leave too few of them, all are.
+    """
+    ids = ids.filter("doc_id is not null").select("doc_id")
+
+    def drawn(share: float) -> DataFrame:
+        some = lowest(ids, share, seed).distinct()
+        return some if but is None else some.join(but.select("doc_id"), "doc_id", "left_anti")
+
+    share = 8 * most / max(ids.count(), 1)
+    some = drawn(share)
+    if share < 1 and some.limit(most).count() < most:
+        some = drawn(1)
+    return some.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+
+
+def matching(docs: DataFrame, ids: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """A row of docs for each doc_id among ids, of which there are few enough to broadcast by first_ids' bound; of repeated ones, one by the hash of its text."""
+    on = on or ["doc_id"]
+    rank = F.row_number().over(Window.partitionBy(*on).orderBy(F.xxhash64("text"), "text"))
+    return docs.join(F.broadcast(ids), on).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def train_in_one_task(rows: DataFrame, fit, schema: str):
@@ -83,7 +104,3 @@ def joined(parts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
 
 def split_rows(doc: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n + 1))
-
-
-def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    return pc.fill_null(batch.column(column), "")

@@ -164,7 +164,8 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, quality_score and kept of every row of docs.
 
     Null text: null score, not kept. Empty text: scored by its metadata and
-    structure. Null source or lang: as the empty name. Repeated rows and tied
+    structure. Very long texts are scored whole. Null doc_id: scored, with
+    null doc_id, but no example. Null source or lang: as the empty name. Repeated rows and tied
     scores are scored alike. Without labelled texts nothing is learnt: null
     scores, all rows with a text kept. An empty table gives no rows. Other
     columns are ignored, whatever their names.
@@ -185,7 +186,12 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that score() keeps, with all their columns; one pass and no join."""
+    """The rows of docs that score() keeps, with all their columns; one pass and no join.
+
+    Null texts go; empty and very long texts, null doc_id, source or lang,
+    ties and repeated rows as in score(). Without labelled texts all rows with
+    a text stay. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(train(docs, labels, **options))
 

@@ -114,8 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_po
         return None
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     toxic = known.filter("p").select("doc_id")
-    others = slim.select("doc_id").join(toxic, "doc_id", "left_anti")
-    ids = first_ids(toxic, max_positive, seed).withColumn("p", F.lit(True)).unionByName(first_ids(others, max_unlabelled, seed).withColumn("p", F.lit(False)))
+    ids = first_ids(toxic, max_positive, seed).withColumn("p", F.lit(True)).unionByName(first_ids(slim, max_unlabelled, seed, toxic).withColumn("p", F.lit(False)))
 
     def rows(batches):
         for b in kit.slices(batches):
@@ -148,7 +147,8 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, toxicity (0.5 at the threshold) and toxic of every row of docs.
 
     Null text: null toxicity, not toxic. Empty text: the model's intercept.
-    Repeated rows and ties are scored alike. Without confirmed examples
+    Very long texts are scored whole. Null doc_id: scored, with null doc_id,
+    but no example. Repeated rows and ties are scored alike. Without confirmed examples
     nothing is learnt: null toxicity, none toxic. An empty table gives no
     rows. Other columns are ignored, whatever their names.
     """
