@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The documents' frequencies of all n-grams of the test items are counted over
-all documents. An item's seeds are its n-grams that occur in at most a share
-`rare` of the documents (or 100 documents, if that is more), and in any case
-the min_seeds rarest that occur at all. Where a document holds a seed, the stretch around it that could
+all documents. An item's seeds are its n-grams that occur in at most `rare`
+documents, and in any case the min_seeds rarest that occur at all, and the
+four rarest of each BLOCK of words. Where a document holds a seed, the stretch around it that could
 hold the item is cut out, hits on nearby diagonals sharing one stretch, and
 aligned word by word with the item (match 2, mismatch -1, gap -1). The score,
 over twice the words of the item, is 1 for an exact copy and stays high for
@@ -44,7 +44,7 @@ class Items:
         self.pos = at - self.first[self.item]
         self.table = np.unique(self.hash)
 
-    def choose(self, df: np.ndarray, most: float, min_seeds: int) -> None:
+    def choose(self, df: np.ndarray, most: int, min_seeds: int) -> None:
         """df: the documents that hold each n-gram of table; most: as many hold a rare one. Keeps the seeds, as a sorted table with the places of each."""
         df = df[np.searchsorted(self.table, self.hash)]
         there = np.flatnonzero(df > 0)
@@ -153,26 +153,28 @@ def counts(docs: DataFrame, items: Items) -> np.ndarray:
     return out
 
 
-def sliced(docs: DataFrame, benchmark: DataFrame, n: int, rare: float, min_seeds: int, slice_bytes: int) -> Iterator[Items]:
+def sliced(docs: DataFrame, benchmark: DataFrame, n: int, rare: int, min_seeds: int, slice_bytes: int) -> Iterator[Items]:
     """The benchmark's items with their seeds, slice by slice."""
     slim = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and text <> ''")
     _, size = kit.measure(slim)
     parts = kit.parts(size, slice_bytes)
-    most = max(rare * docs.count(), 100)
     for k in range(parts if size else 0):
         rows = slim.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
         items = Items([(-1 if i is None else i) for i in rows.column("item_id").to_pylist()], rows.column("text").to_pylist(), n)
         items.null = pc.is_null(rows.column("item_id")).to_numpy()
         if len(items.table):
-            items.choose(counts(docs.select(F.col("text").cast("string").alias("text")), items), most, min_seeds)
+            items.choose(counts(docs.select(F.col("text").cast("string").alias("text")), items), rare, min_seeds)
             yield items
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4, rare: float = 0.01, min_seeds: int = 12, slice_bytes: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4, rare: int = 1000, min_seeds: int = 12, slice_bytes: int = 8 << 20) -> DataFrame:
     """A row for each document and item that align with a score of threshold or more: doc_id, item_id, score, first_word (of the stretch), seeds.
 
+    rare is a number of documents, whatever the size of the table.
+
     An item or a document of fewer than n words is one n-gram of all its
-    words. Null and empty texts match nothing. Null doc_id or item_id: the
+    words. Null and empty texts match nothing. Very long texts are searched
+    whole. Null doc_id or item_id: the
     row has null there. Repeated documents give a row each; repeated items
     too. Tied scores: the stretch that begins first. An empty table on either
     side gives no rows. Other columns are ignored, whatever their names.
@@ -193,8 +195,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: f
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4, rare: float = 0.01, min_seeds: int = 12, slice_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of docs, with all their columns, that align with no item; rows with null text stay."""
+def remove(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4, rare: int = 1000, min_seeds: int = 12, slice_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, that align with no item.
+
+    Rows with null or empty text or null doc_id stay or go by their text alone,
+    null and empty ones stay; so do all where the benchmark is empty. Very long
+    texts are searched whole. Repeated rows stay or go together. An empty
+    table gives no rows.
+    """
     spark = docs.sparkSession
     out = docs
     for items in sliced(docs, benchmark, n, rare, min_seeds, slice_bytes):

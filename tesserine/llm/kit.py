@@ -96,7 +96,7 @@ def groupwise(run):
     return tidied
 
 
-SMALL = 2_000_000  # rows of a name and two or three integers that may be broadcast
+SMALL = 500_000  # rows of a name and two or three integers that may be broadcast
 
 
 def if_small(df: DataFrame, rows: int) -> DataFrame:

@@ -91,12 +91,13 @@ def pack(docs: DataFrame, capacity: int = 2048, group_docs: int = 4096, seed: in
     the bin), doc_id, piece, first_token, n_tokens, bin_tokens.
 
     Null text: one row of 0 tokens with null bin_id, place and bin_tokens.
-    Empty text: 1 token. Null doc_id: packed, with null doc_id. Ties of
+    Empty text: 1 token. Very long texts are cut as said. Null doc_id: packed,
+    in groups by place in the table, with null doc_id. Ties of
     length go by doc_id, then piece; repeated rows are packed each. An empty
     table gives no rows. Other columns are ignored, whatever their names.
     """
     groups = kit.parts(docs.count(), group_docs)
-    counted = token_counts(docs, vocabulary).withColumn("group_id", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(groups)))
+    counted = token_counts(docs, vocabulary).withColumn("group_id", F.pmod(F.xxhash64(F.coalesce("doc_id", -1 - F.monotonically_increasing_id()), F.lit(seed)), F.lit(groups)))
 
     def one(group: pa.Table) -> pa.Table:
         gid = group.column("group_id")[0].as_py()

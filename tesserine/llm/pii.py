@@ -22,6 +22,7 @@ the higher score stays, then the longer, then the earlier.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -121,9 +122,14 @@ def find(text: str, threshold: float = 0.5) -> list[tuple[str, int, int, float,
                 found.append((kind, a, b - a, score, verdict[1]))
     found.sort(key=lambda x: (-x[3], -x[2], x[1], x[0]))
     out: list[tuple[str, int, int, float, bool]] = []
+    begins: list[int] = []
+    ends: list[int] = []  # of the spans in out, in their order in the text
     for x in found:
-        if all(x[1] >= y[1] + y[2] or y[1] >= x[1] + x[2] for y in out):
+        k = bisect_right(begins, x[1])
+        if (k == 0 or ends[k - 1] <= x[1]) and (k == len(begins) or x[1] + x[2] <= begins[k]):
             out.append(x)
+            begins.insert(k, x[1])
+            ends.insert(k, x[1] + x[2])
     return sorted(out, key=lambda x: x[1])
 
 
@@ -143,7 +149,9 @@ def hinted(texts: pa.Array) -> np.ndarray:
 def spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """A row for each span: doc_id, kind, begin and length in characters, score, confirmed, and value, the span itself.
 
-    Null and empty texts have no spans. Null doc_id: the spans have a null
+    Null and empty texts have no spans. Very long texts are searched whole.
+    Of overlapping spans with tied scores and lengths the earlier stays. Digits
+    are those of any script. Null doc_id: the spans have a null
     doc_id. Repeated rows give their spans each. An empty table gives no
     rows. Other columns are ignored, whatever their names.
     """
@@ -164,7 +172,12 @@ def spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs, every row and column, with the spans in text masked and n_chars, where there is one, set to the new length of those texts."""
+    """docs, every row and column, with the spans in text masked and n_chars, where there is one, set to the new length of those texts.
+
+    Null and empty texts and texts without spans stay as they are, whatever
+    their doc_id; very long ones are masked throughout; overlapping spans as in
+    spans(). Repeated rows stay. An empty table gives no rows.
+    """
     schema = docs.schema
     counted = {f.name: f.dataType for f in schema.fields}.get("n_chars")
 

@@ -30,7 +30,8 @@ def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     Null text: null n_bytes, n_tokens and tokens. Empty text: an empty list.
     Null doc_id, source or lang stay null; where docs has no source or lang
-    they are null. Repeated rows stay. Other columns are left out.
+    they are null. Repeated rows stay. Very long texts are one list. An empty
+    table gives no rows. Other columns are left out.
     """
 
     def encode(batches):
