@@ -84,11 +84,11 @@ def cell(c: Column, size: float) -> Column:
     return F.floor(c / F.lit(float(size))).cast("long")
 
 
-def seeded(c: Column, seed: int) -> Column:
+def seeded(c: Column, seed: int | Column) -> Column:
     """A number below 2**31 that depends on an id and a seed; other engines can compute it alike."""
-    return F.pmod(F.pmod(c.cast("long"), F.lit(2147483648)) * F.lit(1103515245) + F.lit(seed), F.lit(2147483648))
+    return F.pmod(F.pmod(c.cast("long"), F.lit(2147483648)) * F.lit(1103515245) + (F.lit(seed) if isinstance(seed, int) else seed), F.lit(2147483648))
 
 
-def seeded_pair(a: Column, b: Column, seed: int) -> Column:
+def seeded_pair(a: Column, b: Column, seed: int | Column) -> Column:
     """seeded() of 1000003 a + b."""
     return seeded(F.pmod(a.cast("long"), F.lit(2147483648)) * 1000003 + F.pmod(b.cast("long"), F.lit(2147483648)), seed)

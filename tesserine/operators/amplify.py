@@ -1,4 +1,4 @@
-"""Seeded extension of a network: cycles between its nodes, and dead ends from nearby samples."""
+"""Seeded extension of a network: cycles between its nodes, dead ends from nearby samples, new key points."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import seeded, seeded_pair, squared_distance
+from ..functions.geometry import seeded, seeded_pair
+from ..plans.lineage import cut, numbered
 from .paths import shortest_paths
-from .spatial import radius_join
+from .skeleton import related
+from .spatial import knn_join, radius_join
 
 XYZ = ("x", "y", "z")
 
@@ -22,14 +24,45 @@ def cycle_pairs(points: DataFrame, edges: DataFrame, least: float, most: float,
     return pairs.join(known, ["u", "v"], "left_anti").orderBy(order, "u", "v").limit(count)
 
 
-def cycles(graph: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Least-cost paths on graph(src, dst, weight) between pairs(u, v): source, node, dist and path."""
-    found = shortest_paths(graph, pairs.select(F.col("u").alias("source")).distinct())
-    return found.join(pairs.select(F.col("u").alias("source"), F.col("v").alias("node")), ["source", "node"])
+def cycles(graph: DataFrame, pairs: DataFrame, points: DataFrame, branches: DataFrame | None = None) -> DataFrame:
+    """Least-cost paths on graph(src, dst, weight) between pairs(u, v, dist): pair_id (in the order of u, v), u, v, length and path.
 
+    Where branches(node_id, branch) are given and the two ends' are related,
+    that is, one lies on the way to the other, what leaves a ball of radius
+    dist / 4 about the middle between them costs more, up to threefold at its
+    centre, so that the path doesn't run back along the branch.
+    """
+    own = cut(numbered(pairs.select("u", "v", "dist"), ["u", "v"], "pair_id"))
+    penalty = None
+    if branches is not None:
+        of = lambda c: branches.select(F.col("node_id").alias(c), F.col("branch").alias(f"_{c}"))
+        akin = own.join(of("u"), "u").join(of("v"), "v").filter(related("_u", "_v")).select("pair_id", "u", "v", "dist")
+        place = lambda c: points.select(F.col("node_id").alias(c), *(F.col(x).alias(f"_{c}{x}") for x in XYZ))
+        middle = akin.join(place("u"), "u").join(place("v"), "v").select("pair_id", "dist", *(((F.col(f"_u{x}") + F.col(f"_v{x}")) / 2).alias(x) for x in XYZ))
+        widest = middle.agg(F.max("dist")).first()[0]
+        if widest:
+            near = radius_join(points, middle.withColumnRenamed("pair_id", "query_id"), widest / 4).withColumnRenamed("query_id", "source")
+            ball = near.join(akin.select(F.col("pair_id").alias("source"), (F.col("dist") / 4).alias("_r")), "source").withColumn("_d", F.sqrt("d2")).filter("_d < _r")
+            penalty = cut(ball.select("source", F.col("node_id").alias("node"), (1 + 2 * (1 - F.col("_d") / F.col("_r"))).alias("factor")))
+    found = shortest_paths(graph, own.select(F.col("pair_id").alias("source"), F.col("u").alias("start")), ends=own.select(F.col("pair_id").alias("source"), F.col("v").alias("node")), penalty=penalty)
+    return own.join(found.select(F.col("source").alias("pair_id"), F.col("dist").alias("length"), "path"), "pair_id").select("pair_id", "u", "v", "length", "path")
 
-def mean_cycle_length(paths: DataFrame) -> DataFrame:
-    return paths.agg(F.avg("dist").alias("mean_cycle_length"), F.count(F.lit(1)).alias("n_cycles"))
+
+def appended(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """The network's edges(src, dst) with those of paths(path), each once."""
+    n = F.size("path")
+    steps = paths.filter(n > 1).select(F.explode(F.arrays_zip(F.slice("path", 2, n - 1).alias("src"), F.slice("path", 1, n - 1).alias("dst"))).alias("e")).select("e.src", "e.dst")
+    return edges.select("src", "dst").unionByName(steps).distinct()
+
+
+def pairs_among(points: DataFrame, edges: DataFrame, flagged: DataFrame, density: float, least: float, most: float, seed: int) -> DataFrame:
+    """cycle_pairs() among the flagged nodes(node_id) only, such as those above (or below) every water table: density times as many as there are flagged nodes, rounded down."""
+    own = cut(points.join(flagged.select("node_id").distinct(), "node_id", "left_semi"))
+    return cycle_pairs(own, edges, least, most, int(density * own.count()), seed)
+
+
+def mean_cycle_length(paths: DataFrame, length: str = "length") -> DataFrame:
+    return paths.agg(F.avg(length).alias("mean_cycle_length"), F.count(F.lit(1)).alias("n_cycles"))
 
 
 def dead_end_starts(samples: DataFrame, nodes: DataFrame, radius: float, count: int, seed: int, z_factor: float = 50.0) -> DataFrame:
@@ -41,11 +74,24 @@ def dead_end_starts(samples: DataFrame, nodes: DataFrame, radius: float, count:
     return drawn.orderBy(seeded(F.col("query_id"), seed), "query_id").limit(count).select(F.col("node_id").alias("sample_id"), F.col("query_id").alias("network_id"))
 
 
+def dead_ends(graph: DataFrame, starts: DataFrame) -> DataFrame:
+    """Least-cost paths on graph from the samples of dead_end_starts to their network nodes: sample_id, network_id, length and path."""
+    own = cut(starts)
+    found = shortest_paths(graph, own.select(F.col("network_id").alias("source"), F.col("sample_id").alias("start")), ends=own.select(F.col("network_id").alias("source"), F.col("network_id").alias("node")))
+    return own.join(found.select(F.col("source").alias("network_id"), F.col("dist").alias("length"), "path"), "network_id")
+
+
 def nearest_node(new: DataFrame, base: DataFrame) -> DataFrame:
-    """For each new point(query_id, x, y, z), the nearest node of base by min_by over the pairs; base is a network, new a few points."""
-    b = base.select("node_id", *(F.col(c).alias(f"b{c}") for c in XYZ))
-    d2 = squared_distance([F.col(c) for c in XYZ], [F.col(f"b{c}") for c in XYZ])
-    return new.crossJoin(b).groupBy("query_id").agg(F.min(F.struct(d2.alias("d2"), "node_id")).alias("_b")).select("query_id", "_b.node_id", "_b.d2")
+    """query_id, node_id and d2: for each new point(query_id, x, y, z), the nearest node of base."""
+    return knn_join(base, new, 1).select("query_id", "node_id", "d2")
+
+
+def attached(graph: DataFrame, samples: DataFrame, base: DataFrame, new: DataFrame) -> DataFrame:
+    """Least-cost paths on graph from each of the new samples(node_id) to the nearest of the network's nodes, base(node_id): query_id, node_id, length and path."""
+    place = lambda ids: samples.join(ids.select("node_id").distinct(), "node_id", "left_semi")
+    near = cut(nearest_node(place(new).withColumnRenamed("node_id", "query_id"), place(base)))
+    found = shortest_paths(graph, near.select(F.col("query_id").alias("source")), ends=near.select(F.col("query_id").alias("source"), F.col("node_id").alias("node")))
+    return found.select(F.col("source").alias("query_id"), F.col("node").alias("node_id"), F.col("dist").alias("length"), "path")
 
 
 def lowest_spring(springs: DataFrame) -> DataFrame:

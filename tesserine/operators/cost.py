@@ -85,11 +85,13 @@ def ball_cost(edges: DataFrame, samples: DataFrame, centre: Sequence[float], rad
 
 
 def used_edges(edges: DataFrame, used: DataFrame, fraction: float, only_below: DataFrame | None = None) -> DataFrame:
-    """edges with the weight times fraction for each time in used(src, dst); with only_below(node_id), only from there."""
+    """edges with the weight times fraction for each time in used(src, dst); with only_below(node_id, wt_idx), only the weights of water tables that src is below (edges has wt_idx, then)."""
     times = used.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_n"))
+    on = ["src", "dst"]
     if only_below is not None:
-        times = times.join(only_below.select(F.col("node_id").alias("src")), "src", "left_semi")
-    return edges.join(times, ["src", "dst"], "left").withColumn("weight", F.col("weight") * F.pow(F.lit(float(fraction)), F.coalesce("_n", F.lit(0)))).drop("_n")
+        times = times.join(only_below.select(F.col("node_id").alias("src"), "wt_idx").distinct(), "src")
+        on.append("wt_idx")
+    return edges.join(times, on, "left").withColumn("weight", F.col("weight") * F.pow(F.lit(float(fraction)), F.coalesce("_n", F.lit(0)))).drop("_n").select(*edges.columns)
 
 
 def normalised(edges: DataFrame) -> DataFrame:

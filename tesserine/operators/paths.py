@@ -7,36 +7,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import seeded_pair
-from ..plans.lineage import cut
+from ..plans.lineage import cut, numbered
 from .cost import used_edges
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None, target: int | None = None) -> DataFrame:
-    """source, node, dist, prev and path (node ids from the source on) of every node reached from sources(source).
+def distances(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None, target: int | None = None, penalty: DataFrame | None = None) -> DataFrame:
+    """source, node, dist, prev and hops (the path's edges) of every node reached from sources(source), or, with sources(source, start), from start.
 
     edges(src, dst, weight) are directed, weights not negative. Each round
-    extends only what the last one improved. With max_rounds, paths have so
-    many edges at most; with target, the rounds stop once nothing in hand is
-    nearer than the target. Ties go to the smaller predecessor. Unreachable
-    nodes have no row.
+    extends only what the last one improved; rows are of a few numbers, so that
+    a round's shuffle grows with the nodes and not with their paths. With
+    max_rounds, paths have so many edges at most; with target, the rounds stop
+    once nothing in hand is nearer than the target. Ties go to the path of
+    fewer edges, then the smaller predecessor. With penalty(source, node,
+    factor), edges that leave node cost that source factor times as much.
+    Unreachable nodes have no row.
     """
     e = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    best = sources.select(F.col("source"), F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("prev"), F.array("source").alias("path"), F.lit(0).alias("round")).distinct()
-    best = cut(best)
+    begin = F.col("start" if "start" in sources.columns else "source").cast("long").alias("node")
+    best = cut(sources.select(F.col("source").cast("long").alias("source"), begin, F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("prev"), F.lit(0).alias("hops")).distinct())
     k = 0
     while max_rounds is None or k < max_rounds:
-        front = best.filter(F.col("round") == k)
+        front = best.filter(F.col("hops") == k)
         if target is not None:
             bar = best.filter(F.col("node") == target).groupBy("source").agg(F.min("dist").alias("_bar"))
             front = front.join(bar, "source", "left").filter(F.col("_bar").isNull() | (F.col("dist") < F.col("_bar"))).drop("_bar")
         if front.isEmpty():
             break
-        step = front.join(e, front["node"] == e["src"]).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("prev"), F.concat("path", F.array("dst")).alias("path"), F.lit(k + 1).alias("round"))
-        both = best.unionByName(step)
-        first = F.min(F.struct("dist", F.col("round").alias("r"), F.coalesce("prev", F.lit(-1)).alias("p"), "prev", "path", "round")).alias("b")
-        best = cut(both.groupBy("source", "node").agg(first).select("source", "node", "b.dist", "b.prev", "b.path", "b.round"))
+        weight = F.col("weight")
+        if penalty is not None:
+            front = front.join(penalty.select("source", "node", "factor"), ["source", "node"], "left")
+            weight = weight * F.coalesce("factor", F.lit(1.0))
+        step = front.join(e, front["node"] == e["src"]).select("source", F.col("dst").alias("node"), (F.col("dist") + weight).alias("dist"), F.col("src").alias("prev"), F.lit(k + 1).alias("hops"))
+        first = F.min(F.struct("dist", "hops", F.coalesce("prev", F.lit(-1)).alias("_p"), "prev")).alias("b")
+        best = cut(best.unionByName(step).groupBy("source", "node").agg(first).select("source", "node", "b.dist", "b.prev", "b.hops"))
         k += 1
-    return best.drop("round")
+    return best
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None, target: int | None = None, ends: DataFrame | None = None, penalty: DataFrame | None = None) -> DataFrame:
+    """distances() with path, the nodes from the source on; with ends(node) or ends(source, node), of those only.
+
+    Paths are put together backwards from their ends, a round for each edge of
+    the longest, over what distances() found.
+    """
+    found = distances(edges, sources, max_rounds, target, penalty)
+    tree = found.select("source", F.col("node").alias("_at"), F.col("prev").alias("_prev"))
+    on = [] if ends is None else [c for c in ("source", "node") if c in ends.columns]
+    keep = found if ends is None else found.join(ends.select(*on).distinct(), on, "left_semi")
+    now = cut(keep.select("source", "node", "dist", "prev", F.array("node").alias("path"), F.col("prev").alias("_at")))
+    done = now.filter("_at is null")
+    while True:
+        now = now.filter("_at is not null")
+        if now.isEmpty():
+            break
+        now = cut(now.join(tree, ["source", "_at"]).select("source", "node", "dist", "prev", F.concat(F.array("_at"), "path").alias("path"), F.col("_prev").alias("_at")))
+        done = done.unionByName(now.filter("_at is null"))
+    return done.drop("_at")
 
 
 def nearest_flagged(paths: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -61,6 +88,15 @@ def seeded_choice(links: DataFrame, seed: int) -> DataFrame:
     return ranked.withColumn("flag", F.when(F.col("flag") != 2, F.col("flag")).when(F.col("_r") == 1, 1).otherwise(0)).drop("_r")
 
 
+def iterated(links: DataFrame, iterations: int, seed: int, vary_seed: bool = True) -> DataFrame:
+    """seeded_choice() of each of several iterations, numbered from 0: its seed is seed + iteration, or seed for all."""
+    every = links.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    own = F.lit(seed) + (F.col("iteration") if vary_seed else 0)
+    order = Window.partitionBy("iteration", "sink_id", "flag").orderBy(seeded_pair(F.col("sink_id"), F.col("spring_id"), own), "spring_id")
+    ranked = every.withColumn("_r", F.row_number().over(order))
+    return ranked.withColumn("flag", F.when(F.col("flag") != 2, F.col("flag")).when(F.col("_r") == 1, 1).otherwise(0)).drop("_r")
+
+
 def nearest_choice(links: DataFrame, dist: str = "dist", slack: float = 1e-10) -> DataFrame:
     """connectivity(sink_id, spring_id, flag, dist) with uncertain links kept (1) only within slack of their sink's shortest path, and certain ones always; unreachable springs (null dist) are 0."""
     least = F.min(F.when(F.col("flag") > 0, F.col(dist))).over(Window.partitionBy("sink_id"))
@@ -81,24 +117,32 @@ def network(edges: DataFrame, on_table: DataFrame, sinks: list[int], springs: di
 
     edges(src, dst, weight, wt_idx); on_table(node_id, wt_idx); springs maps a
     spring's node to its water table. Sinks come in order, as the cohesion of
-    each one's paths cheapens the edges for those after it; edges are never
-    changed in place. A sink that reaches no node on the table, or from there
-    no spring, has no path.
+    each one's paths cheapens the edges for those after it (with
+    below(node_id, wt_idx), the weights of a table only where the edge's source
+    is below that one); edges are never changed in place. Only springs that a
+    sink may have are searched for, those of one table together. A sink that
+    reaches no node on the table, or from there no spring, has no path.
     """
-    links = connectivity if single_outlet else seeded_choice(connectivity, seed)
+    links = cut(connectivity if single_outlet else seeded_choice(connectivity, seed))
     spark = edges.sparkSession
+    allowed: dict[int, dict[int, list[int]]] = {}
+    for row in links.filter(F.col("flag") > 0).select("sink_id", "spring_id").collect():  # sinks x springs, which the caller gives as lists
+        if row.spring_id in springs:
+            allowed.setdefault(row.sink_id, {}).setdefault(springs[row.spring_id], []).append(row.spring_id)
     now, out = edges, None
     for sink in sinks:
         start = spark.createDataFrame([(sink,)], "source long")
         found = None
-        for spring, table in sorted(springs.items()):
-            own = now.filter(F.col("wt_idx") == table)
-            reach = cut(nearest_flagged(shortest_paths(own, start), on_table.filter(F.col("wt_idx") == table)))
-            row = reach.first()
-            if row is None:
+        for table, own_springs in sorted(allowed.get(sink, {}).items()):
+            own = now.filter(F.col("wt_idx") == table).select("src", "dst", "weight")
+            goals = on_table.filter(F.col("wt_idx") == table)
+            reach = cut(nearest_flagged(shortest_paths(own, start, ends=goals.select(F.col("node_id").alias("node"))), goals))
+            if reach.isEmpty():
                 continue
-            rest = shortest_paths(own, spark.createDataFrame([(row.node,)], "source long"), target=spring).filter(F.col("node") == spring)
-            part = rest.select(F.lit(sink).cast("long").alias("sink_id"), F.lit(spring).cast("long").alias("spring_id"), (F.col("dist") + row.dist).alias("dist"), F.array(*(F.lit(x) for x in row.path)).alias("dry"), F.slice("path", 2, F.size("path")).alias("wet"))
+            ends = spark.createDataFrame([(x,) for x in sorted(own_springs)], "node long")
+            rest = shortest_paths(own, reach.select(F.col("node").alias("source")), ends=ends)
+            part = reach.select(F.col("source").alias("sink_id"), F.col("node").alias("_reach"), F.col("dist").alias("_first"), F.col("path").alias("dry")).join(rest.select(F.col("source").alias("_reach"), F.col("node").alias("spring_id"), "dist", "path"), "_reach")
+            part = part.select("sink_id", "spring_id", (F.col("dist") + F.col("_first")).alias("dist"), "dry", F.slice("path", 2, F.size("path")).alias("wet"))
             found = part if found is None else found.unionByName(part)
         if found is None:
             continue
@@ -109,8 +153,8 @@ def network(edges: DataFrame, on_table: DataFrame, sinks: list[int], springs: di
             now = cut(used_edges(now, nodes, fraction, below))
     if out is None:
         return spark.createDataFrame([], "path_id long, sink_id long, spring_id long, pos int, node_id long, vadose boolean")
-    numbered = out.withColumn("path_id", F.row_number().over(Window.orderBy("sink_id", "spring_id")).cast("long"))
-    return numbered.select("path_id", "sink_id", "spring_id", F.size("dry").alias("_dry"), F.posexplode(F.concat("dry", "wet")).alias("pos", "node_id")).withColumn("vadose", F.col("pos") < F.col("_dry")).drop("_dry")
+    ids = numbered(out, ["sink_id", "spring_id"], "path_id", 1)
+    return ids.select("path_id", "sink_id", "spring_id", F.size("dry").alias("_dry"), F.posexplode(F.concat("dry", "wet")).alias("pos", "node_id")).withColumn("vadose", F.col("pos") < F.col("_dry")).drop("_dry")
 
 
 def pruned(pairs: DataFrame, gamma: float) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, numbered
 
 
 def from_paths(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -20,7 +20,7 @@ def from_paths(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
 def from_segments(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (node_id, x, y, z) with equal positions made one, and edges, of segments(seg_id, x0, y0, z0, x1, y1, z1)."""
     ends = segments.select(*(F.col(f"{c}0").alias(c) for c in "xyz")).unionByName(segments.select(*(F.col(f"{c}1").alias(c) for c in "xyz")))
-    nodes = ends.distinct().withColumn("node_id", F.row_number().over(Window.orderBy("x", "y", "z")).cast("long") - 1)
+    nodes = cut(numbered(ends.distinct(), ["x", "y", "z"], "node_id"))
     at = lambda k: nodes.select(F.col("node_id").alias("src" if k == 0 else "dst"), *(F.col(c).alias(f"{c}{k}") for c in "xyz"))
     edges = segments.join(at(0), ["x0", "y0", "z0"]).join(at(1), ["x1", "y1", "z1"]).filter("src <> dst").select("src", "dst").distinct()
     return nodes.select("node_id", "x", "y", "z"), edges
@@ -69,7 +69,7 @@ def branches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     plain = nodes.select("node_id").distinct().join(crossing, "node_id", "left_anti")
     inner = edges.join(crossing.withColumnRenamed("node_id", "src"), "src", "left_anti").join(crossing.withColumnRenamed("node_id", "dst"), "dst", "left_anti")
     comp = components(plain, inner)
-    rank = comp.select("component").distinct().withColumn("branch_id", F.row_number().over(Window.orderBy("component")))
+    rank = numbered(comp.select("component").distinct(), ["component"], "branch_id", 1).withColumn("branch_id", F.col("branch_id").cast("int"))
     return comp.join(rank, "component").select("node_id", "branch_id").unionByName(crossing.select("node_id", F.lit(-1).alias("branch_id")))
 
 
@@ -111,12 +111,12 @@ def intersections(nodes: DataFrame, edges: DataFrame, heads: DataFrame) -> DataF
     return j.select("node_id", ((F.coalesce("_o", F.lit(0)) != 1) | (F.coalesce("_i", F.lit(0)) > 1) | F.coalesce("_h", F.lit(False))).alias("is_intersection"))
 
 
-def hierarchy(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def hierarchy(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node_id and branch, a string: roots(node_id) have "1"; along a branch it stays, at a fork the j-th way adds ".j"."""
     e = cut(both_ways(edges))
     done = cut(roots.select("node_id", F.lit("1").alias("branch")).distinct())
     front = done
-    for _ in range(most_rounds):
+    while True:
         step = front.join(e, front["node_id"] == e["src"]).join(done.select(F.col("node_id").alias("dst")), "dst", "left_anti").select("src", "dst", "branch")
         ways = F.count(F.lit(1)).over(Window.partitionBy("src"))
         turn = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
@@ -125,7 +125,6 @@ def hierarchy(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) ->
         if front.isEmpty():
             return done
         done = cut(done.unionByName(front))
-    raise RuntimeError("the network is deeper than most_rounds")
 
 
 def related(a: str, b: str):
@@ -133,6 +132,11 @@ def related(a: str, b: str):
     return (F.col(a) == F.col(b)) | F.col(a).startswith(F.concat(F.col(b), F.lit("."))) | F.col(b).startswith(F.concat(F.col(a), F.lit(".")))
 
 
+def ids_as_text(ids: str, separator: str = ",") -> Column:
+    """An array of ids as text; ascending and each once."""
+    return F.array_join(F.array_sort(F.array_distinct(ids)).cast("array<string>"), separator)
+
+
 def vadose_counts(nodes: DataFrame) -> DataFrame:
     """spring_id and n_vadose, its nodes above the water table."""
     return nodes.groupBy("spring_id").agg(F.sum(F.col("vadose").cast("int")).cast("long").alias("n_vadose"))
@@ -155,5 +159,5 @@ def table_ratio(nodes: DataFrame, gap: float) -> DataFrame:
 def relabelled(labels: DataFrame) -> DataFrame:
     """labels(branch_id, pos) with branches numbered from 1 on by where they come first."""
     first = labels.groupBy("branch_id").agg(F.min("pos").alias("_p"))
-    rank = first.withColumn("label", F.row_number().over(Window.orderBy("_p", "branch_id"))).drop("_p")
+    rank = numbered(first, ["_p", "branch_id"], "label", 1).drop("_p")
     return labels.join(rank, "branch_id")

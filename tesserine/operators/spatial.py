@@ -13,11 +13,14 @@ import math
 from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import METRICS, Metric, cell, squared_distance
+from ..plans.lineage import cut
 
 
 def neighbour_cells(coords: Sequence[str], size: float, reach: int = 1) -> Column:
@@ -38,8 +41,15 @@ def radius_join(points: DataFrame, queries: DataFrame, radius: float, coords: Se
     return out.filter("query_id <> node_id") if exclude_self else out
 
 
-def knn_join(points: DataFrame, queries: DataFrame, k: int, coords: Sequence[str] = ("x", "y", "z"), point_id: str = "node_id", query_id: str = "query_id", exclude_self: bool = False, max_distance: float | None = None, per_cell: float = 2.0) -> DataFrame:
-    """query_id, node_id, rank and d2 of each query's k nearest points; fewer where there are fewer (or nearer than max_distance)."""
+def knn_join(points: DataFrame, queries: DataFrame, k: int, coords: Sequence[str] = ("x", "y", "z"), point_id: str = "node_id", query_id: str = "query_id", exclude_self: bool = False, max_distance: float | None = None, per_cell: float = 2.0, eps: float = 0.0) -> DataFrame:
+    """query_id, node_id, rank and d2 of each query's k nearest points; fewer where there are fewer (or nearer than max_distance).
+
+    eps, the relative error that a search may make, is accepted; results are
+    exact for any, which is within it. What a round finds and what it leaves is
+    cut, so that no round is computed again.
+    """
+    if eps < 0:
+        raise ValueError("eps must be 0 or more")
     d = len(coords)
     slim = points.select(F.col(point_id).alias("node_id"), *(F.col(c).cast("double").alias(f"p{j}") for j, c in enumerate(coords))).dropna()
     ask = queries.select(F.col(query_id).alias("query_id"), *(F.col(c).cast("double").alias(f"q{j}") for j, c in enumerate(coords))).dropna()
@@ -63,16 +73,18 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, coords: Sequence[str
         last = size >= farthest
         p = slim.withColumn("_cell", F.struct(*(cell(F.col(f"p{j}"), size).alias(f"c{j}") for j in range(d))))
         q = ask.withColumn("_cell", F.explode(neighbour_cells([f"q{j}" for j in range(d)], size)))
-        near = q.join(p, "_cell").select("query_id", "node_id", d2.alias("d2")).filter(F.col("d2") < F.lit(size**2 if not last or max_distance is None else max_distance**2) if not last or max_distance is not None else F.lit(True))
+        near = q.join(p, "_cell").select("query_id", "node_id", d2.alias("d2"))
+        if not last or max_distance is not None:
+            near = near.filter(F.col("d2") < F.lit((max_distance if last else size) ** 2))
         if exclude_self:
             near = near.filter("query_id <> node_id")
-        top = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        top = cut(near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
         if last:
             found.append(top)
             break
-        full = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k).select("query_id")
+        full = top.filter(F.col("rank") == k).select("query_id")
         found.append(top.join(full, "query_id", "left_semi"))
-        ask = ask.join(full, "query_id", "left_anti")
+        ask = cut(ask.join(full, "query_id", "left_anti"))
         size = min(size * 2, farthest)
         if ask.isEmpty():
             break
@@ -82,15 +94,64 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, coords: Sequence[str
     return out.select("query_id", "node_id", "rank", "d2")
 
 
+BLOCK = 2048
+
+
+def distances(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of all rows of a to all of b."""
+    if metric == "so2":
+        d = b[None, :, 0] - a[:, None, 0]
+        return np.abs(np.where(d > np.pi, d - 2 * np.pi, np.where(d < -np.pi, d + 2 * np.pi, d)))
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        d = a[:, None, j] - b[None, :, j]
+        out += np.abs(d) if metric == "l1" else d * d
+    return out
+
+
 def brute_knn(points: DataFrame, queries: DataFrame, k: int, vector: str, point_id: str, query_id: str, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
-    """k nearest of array columns under any metric, by comparing all pairs; for vectors of many dimensions, where cells don't help."""
-    f = METRICS[metric] if isinstance(metric, str) else metric
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"))
-    p = points.select(F.col(point_id).alias("node_id"), F.col(vector).alias("_p"))
-    pairs = q.crossJoin(p).select("query_id", "node_id", f(F.col("_q"), F.col("_p")).alias("distance"))
-    if exclude_self:
-        pairs = pairs.filter("query_id <> node_id")
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "node_id"))).filter(F.col("rank") <= k)
+    """query_id, node_id, distance and rank of the k nearest of array columns, by comparing all pairs; for vectors of many dimensions, where cells don't help.
+
+    For the metrics by name, blocks of about BLOCK queries meet blocks of as
+    many points in one task each, which keeps k for each query; of those the
+    k nearest are kept. A metric given as a function of two columns is put to
+    all pairs. Null vectors match nothing.
+    """
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("_v")).filter("_v is not null")
+    p = points.select(F.col(point_id).alias("node_id"), F.col(vector).cast("array<double>").alias("_v")).filter("_v is not null")
+    order = Window.partitionBy("query_id").orderBy("distance", "node_id")
+    if not isinstance(metric, str):
+        pairs = q.withColumnRenamed("_v", "_q").crossJoin(p.withColumnRenamed("_v", "_p")).select("query_id", "node_id", metric(F.col("_q"), F.col("_p")).alias("distance"))
+        pairs = pairs.filter("query_id <> node_id") if exclude_self else pairs
+        return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if metric not in METRICS:
+        raise ValueError(f"no metric {metric}")
+    nq, np_ = (max(1, math.ceil(df.count() / BLOCK)) for df in (q, p))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select(F.col("query_id").cast("long").alias("id"), "_v", F.lit(True).alias("asks"), own("query_id", nq).alias("i")).withColumn("j", every(np_))
+    right = p.select(F.col("node_id").cast("long").alias("id"), "_v", F.lit(False).alias("asks"), own("node_id", np_).alias("j")).withColumn("i", every(nq))
+
+    def meet(t: pa.Table) -> pa.Table:
+        asks = t.column("asks").to_numpy()
+        ids, v = t.column("id").to_numpy(), t.column("_v").combine_chunks()
+        v = v.flatten().to_numpy().reshape(len(ids), -1)
+        (a, b), (x, y) = (ids[asks], ids[~asks]), (v[asks], v[~asks])
+        by = np.argsort(b, kind="stable")
+        b, y = b[by], y[by]
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for at in range(0, len(a), 256):
+            d = distances(metric, x[at : at + 256], y) if len(b) else np.empty((len(a[at : at + 256]), 0))
+            if exclude_self:
+                d[a[at : at + 256, None] == b[None, :]] = np.inf
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            d = np.take_along_axis(d, best, 1)
+            row, col = np.nonzero(np.isfinite(d))
+            out.append((a[at + row], b[best[row, col]], d[row, col]))
+        return pa.table(dict(zip(("query_id", "node_id", "distance"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    near = left.unionByName(right).groupBy("i", "j").applyInArrow(meet, "query_id long, node_id long, distance double")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def bounding_box(points: DataFrame, coords: Sequence[str] = ("x", "y", "z")) -> DataFrame:
@@ -98,12 +159,22 @@ def bounding_box(points: DataFrame, coords: Sequence[str] = ("x", "y", "z")) ->
 
 
 def outside_spheres(points: DataFrame, spheres: DataFrame, key_points: DataFrame | None = None) -> DataFrame:
-    """points(x, y, z) that lie in no sphere(x, y, z, radius), strictly; ValueError if a sphere holds a key point."""
-    s = spheres.select(F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col("z").alias("_sz"), F.col("radius").alias("_r"))
-    inside = squared_distance([F.col("x"), F.col("y"), F.col("z")], [F.col("_sx"), F.col("_sy"), F.col("_sz")]) < F.col("_r") * F.col("_r")
-    if key_points is not None and not key_points.join(s, inside, "left_semi").isEmpty():
+    """points(node_id, x, y, z) that lie in no sphere(x, y, z, radius), strictly; ValueError if a sphere holds a key point.
+
+    The join is on cells as wide as the largest radius: a sphere is listed in
+    the 27 around its centre, a point in its own.
+    """
+    largest = spheres.agg(F.max("radius")).first()[0]
+    if largest is None or largest <= 0:
+        return points
+    xyz = ("x", "y", "z")
+    s = spheres.filter("radius > 0").select(*(F.col(c).cast("double").alias(f"_s{c}") for c in xyz), F.col("radius").alias("_r"))
+    s = s.withColumn("_cell", F.explode(neighbour_cells([f"_s{c}" for c in xyz], largest)))
+    inside = squared_distance([F.col(c) for c in xyz], [F.col(f"_s{c}") for c in xyz]) < F.col("_r") * F.col("_r")
+    at = lambda df: df.withColumn("_own", F.struct(*(cell(F.col(c).cast("double"), largest).alias(f"c{k}") for k, c in enumerate(xyz))))
+    if key_points is not None and not at(key_points).join(s, (F.col("_own") == F.col("_cell")) & inside, "left_semi").isEmpty():
         raise ValueError("a sphere holds a key point")
-    return points.join(s, inside, "left_anti")
+    return at(points).join(s, (F.col("_own") == F.col("_cell")) & inside, "left_anti").drop("_own")
 
 
 def deduplicated(points: DataFrame, coords: Sequence[str] = ("x", "y", "z"), point_id: str = "node_id") -> DataFrame:
@@ -111,6 +182,12 @@ def deduplicated(points: DataFrame, coords: Sequence[str] = ("x", "y", "z"), poi
     return points.withColumn("_first", F.min(point_id).over(Window.partitionBy(*coords))).select(point_id, F.col("_first").alias("kept_id"))
 
 
+def positions(points: DataFrame, samples: DataFrame, coords: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """points with node_id, the smallest of the samples at exactly that place; null where there is none."""
+    first = samples.groupBy(*coords).agg(F.min("node_id").alias("node_id"))
+    return points.drop("node_id").join(first, list(coords), "left")
+
+
 def cells_of(points: DataFrame, origin: Sequence[float], step: Sequence[float], counts: Sequence[int], coords: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """points with u, v and w: the box cell of each, those outside clamped to the border."""
     out = points

@@ -34,31 +34,31 @@ def over_triangles(points: DataFrame, tri: DataFrame, size: float) -> DataFrame:
     return hit.groupBy("node_id").agg(F.min(F.struct("t_id", z.alias("z"))).alias("_b")).select("node_id", "_b.t_id", F.col("_b.z").alias("surface_z"))
 
 
-def below_surface(points: DataFrame, tri: DataFrame, size: float) -> DataFrame:
-    """node_id and below: strictly under the surface; false where there is no triangle."""
+def on_surface(points: DataFrame, tri: DataFrame, size: float, farthest: float) -> DataFrame:
+    """node_id, below (strictly under the surface; false where there is no triangle) and distance (vertical, 0 within a hundredth; farthest where there is no triangle)."""
     over = over_triangles(points, tri, size).select("node_id", "surface_z")
-    return points.join(over, "node_id", "left").select("node_id", F.coalesce(F.col("z") < F.col("surface_z"), F.lit(False)).alias("below"))
+    d = F.abs(F.col("z") - F.col("surface_z"))
+    below = F.coalesce(F.col("z") < F.col("surface_z"), F.lit(False)).alias("below")
+    return points.join(over, "node_id", "left").select("node_id", below, F.coalesce(F.when(d < 0.01, 0.0).otherwise(d), F.lit(float(farthest))).alias("distance"))
+
+
+def below_surface(points: DataFrame, tri: DataFrame, size: float) -> DataFrame:
+    return on_surface(points, tri, size, 0.0).select("node_id", "below")
 
 
 def surface_distance(points: DataFrame, tri: DataFrame, size: float, farthest: float) -> DataFrame:
-    """node_id and distance, vertical, 0 within a hundredth; farthest where there is no triangle."""
-    over = over_triangles(points, tri, size).select("node_id", "surface_z")
-    d = F.abs(F.col("z") - F.col("surface_z"))
-    return points.join(over, "node_id", "left").select("node_id", F.coalesce(F.when(d < 0.01, 0.0).otherwise(d), F.lit(float(farthest))).alias("distance"))
+    return on_surface(points, tri, size, farthest).select("node_id", "distance")
 
 
 def table_flags(points: DataFrame, tables: list[DataFrame], size: float, farthest: float) -> DataFrame:
     """node_id, wt_idx (from 1 on), below and distance for every water table."""
     out = None
     for k, tri in enumerate(tables, 1):
-        part = below_surface(points, tri, size).join(surface_distance(points, tri, size, farthest), "node_id").withColumn("wt_idx", F.lit(k))
+        part = on_surface(points, tri, size, farthest).withColumn("wt_idx", F.lit(k))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def nearest_surface(points: DataFrame, surfaces: list[DataFrame], size: float, farthest: float) -> DataFrame:
     """node_id and distance from the nearest of some surfaces."""
-    out = surface_distance(points, surfaces[0], size, farthest)
-    for tri in surfaces[1:]:
-        out = out.unionByName(surface_distance(points, tri, size, farthest))
-    return out.groupBy("node_id").agg(F.min("distance").alias("distance"))
+    return table_flags(points, surfaces, size, farthest).groupBy("node_id").agg(F.min("distance").alias("distance"))

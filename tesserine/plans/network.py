@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import CostWeights, Parameters
 from ..operators import cost
-from ..operators.paths import path_nodes, shortest_paths
+from ..operators.paths import distances, path_nodes
 from .lineage import cut
 
 
@@ -34,8 +34,8 @@ def flagship(part: DataFrame, source: int = 1) -> DataFrame:
     """Paths from one part to all others over the priced graph of eight neighbours: node_id, dist and hops."""
     samples = part_samples(part)
     graph = cut(cost_graph(samples, (1000.0, 2000.0, 97.0), Parameters(neighbours=8, cost=CostWeights(vadose=1.0, phreatic=1.0)), ("below", "wt_dist")))
-    found = shortest_paths(graph, part.sparkSession.createDataFrame([(source,)], "source long"))
-    return found.select(F.col("node").alias("node_id"), "dist", (F.size("path") - 1).alias("hops"))
+    found = distances(graph, part.sparkSession.createDataFrame([(source,)], "source long"))
+    return found.select(F.col("node").alias("node_id"), "dist", "hops")
 
 
 __all__ = ["cost_graph", "flagship", "part_samples", "path_nodes"]

@@ -9,7 +9,6 @@ from .functions.geometry import azimuth, matches_family
 from .functions.noise import noise
 from .model import CostWeights
 from .operators import amplify, cost, paths, skeleton, spatial, surface
-from .plans.lineage import cut
 from .plans.network import flagship, part_samples
 from .sources.text import connectivity_matrix, graph_segments
 
@@ -34,17 +33,17 @@ FROM p a JOIN p b ON a.node_id <> b.node_id), r AS (SELECT *, row_number() OVER
 
 def knn_vectors(spark, d):
     e = t(spark, d, "embeddings")
-    return spatial.brute_knn(e, e.filter("vec_id % 10 = 0"), 5, "embedding", "vec_id", "vec_id", exclude_self=True).select("query_id", "node_id", "rank", F.round("distance", 4).alias("distance"))
+    return spatial.brute_knn(e, e, 5, "embedding", "vec_id", "vec_id", exclude_self=True).select("query_id", "node_id", "rank", F.round("distance", 4).alias("distance"))
 
 
 def knn_vectors_l1(spark, d):
     e = t(spark, d, "embeddings")
-    return spatial.brute_knn(e, e.filter("vec_id % 20 = 0"), 3, "embedding", "vec_id", "vec_id", "l1").select("query_id", "node_id", "rank", F.round("distance", 4).alias("distance"))
+    return spatial.brute_knn(e, e, 3, "embedding", "vec_id", "vec_id", "l1").select("query_id", "node_id", "rank", F.round("distance", 4).alias("distance"))
 
 
-def vectors_sql(every: int, k: int, term: str, self_too: bool) -> str:
+def vectors_sql(k: int, term: str, self_too: bool) -> str:
     return f"""WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS node_id, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: {term})) AS distance
-FROM embeddings a JOIN embeddings b ON {'true' if self_too else 'a.vec_id <> b.vec_id'} WHERE a.vec_id % {every} = 0),
+FROM embeddings a JOIN embeddings b ON {'true' if self_too else 'a.vec_id <> b.vec_id'}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, node_id) AS rank FROM n)
 SELECT query_id, node_id, rank, round(distance, 4) AS distance FROM r WHERE rank <= {k}"""
 
@@ -54,7 +53,7 @@ D = "(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE)"
 
 def radius_points(spark, d):
     p = points(spark, d)
-    return spatial.radius_join(p, p.filter("node_id % 10 = 0").withColumnRenamed("node_id", "query_id"), 3.0, ("x", "y")).withColumn("d2", F.round("d2", 6))
+    return spatial.radius_join(p, p.withColumnRenamed("node_id", "query_id"), 3.0, ("x", "y")).withColumn("d2", F.round("d2", 6))
 
 
 def sphere_removal(spark, d):
@@ -119,7 +118,7 @@ g AS (SELECT s_suppkey AS src, s_suppkey * m % n + 1 AS dst, (s_suppkey * m % 17
 
 def hop_paths(spark, d):
     src = spark.createDataFrame([(1,), (2,)], "source long")
-    return paths.shortest_paths(whole_graph(spark, d), src, max_rounds=5).select("source", "node", "dist")
+    return paths.distances(whole_graph(spark, d), src, max_rounds=5).select("source", "node", "dist")
 
 
 HOPS = f"""WITH RECURSIVE {WHOLE}, w(source, node, dist, hops) AS (SELECT v.x::BIGINT, v.x::BIGINT, 0.0::DOUBLE, 0 FROM (VALUES (1), (2)) v(x)
@@ -262,11 +261,6 @@ def fractal_noise(spark, d):
     return p.select("node_id", F.round(noise(F.col("x") / 100, F.col("y") / 100, F.col("z") / 100, seed=1, octaves=3), 9).alias("noise"))
 
 
-def all_paths(spark, d):
-    g = cut(whole_graph(spark, d))
-    return paths.shortest_paths(g, g.select(F.col("src").alias("source")).distinct().filter("source <= 20")).select("source", "node", "dist")
-
-
 def paths_from_one(spark, d):
     return flagship(t(spark, d, "part"))
 
@@ -275,14 +269,14 @@ QUERIES = {
     "knn_points": knn_points, "knn_vectors": knn_vectors, "knn_vectors_l1": knn_vectors_l1, "radius_points": radius_points, "sphere_removal": sphere_removal, "bounding_box": bounding_box, "dedup_points": dedup_points,
     "cell_potential": cell_potential, "edge_costs": edge_costs, "fracture_match": fracture_match, "hop_paths": hop_paths, "valence": valence, "cycle_count": cycle_count, "branch_sizes": branch_sizes, "mean_deviation": mean_deviation,
     "surface_tests": surface_tests, "link_choice": link_choice, "seeded_links": seeded_links, "connectivity": connectivity, "cohesion": cohesion, "gamma_pruning": gamma_pruning, "ball": ball, "cycle_candidates": cycle_candidates, "both_costs": both_costs,
-    "fractal_noise": fractal_noise, "all_paths": all_paths, "paths_from_one": paths_from_one,
+    "fractal_noise": fractal_noise, "paths_from_one": paths_from_one,
 }
 
 ORACLE_SQL = {
     "knn_points": f"WITH {KNN} SELECT query_id, node_id, rank, round(d2, 6) AS d2 FROM r WHERE rank <= 5",
-    "knn_vectors": vectors_sql(10, 5, f"{D} * {D}", False),
-    "knn_vectors_l1": vectors_sql(20, 3, f"abs({D})", True),
-    "radius_points": f"WITH {P}, n AS (SELECT a.node_id AS query_id, b.node_id, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d2 FROM p a, p b WHERE a.node_id % 10 = 0) SELECT query_id, node_id, round(d2, 6) AS d2 FROM n WHERE d2 < 9",
+    "knn_vectors": vectors_sql(5, f"{D} * {D}", False),
+    "knn_vectors_l1": vectors_sql(3, f"abs({D})", True),
+    "radius_points": f"WITH {P}, n AS (SELECT a.node_id AS query_id, b.node_id, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d2 FROM p a, p b) SELECT query_id, node_id, round(d2, 6) AS d2 FROM n WHERE d2 < 9",
     "sphere_removal": f"WITH {P}, s AS (SELECT (s_suppkey % 50)::DOUBLE AS x, (s_suppkey * 7 % 60 + 40)::DOUBLE AS y FROM supplier) SELECT node_id, x, y FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) < 16)",
     "bounding_box": f"WITH {P} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM p",
     "dedup_points": f"WITH {P} SELECT node_id, min(node_id) OVER (PARTITION BY x, floor(y)) AS kept_id FROM p",

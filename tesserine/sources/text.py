@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.lineage import cut, in_order, numbered
+
 OFF = ("//", "%", "::", "#")
 
 
@@ -67,8 +69,7 @@ def read_box(spark: SparkSession, path: str) -> DataFrame:
 
 def read_connectivity(spark: SparkSession, path: str) -> DataFrame:
     """sink_id, spring_id (both from 1 on) and flag of a matrix of 0, 1 and 2, a line for each sink."""
-    rows = _fields(spark, path).withColumn("_at", F.monotonically_increasing_id())
-    n = rows.withColumn("sink_id", F.row_number().over(Window.orderBy("_at")).cast("long"))
+    n = in_order(_fields(spark, path), "sink_id", 1)
     out = n.select("sink_id", F.posexplode("f").alias("_k", "_v")).select("sink_id", (F.col("_k") + 1).cast("long").alias("spring_id"), F.col("_v").cast("double").cast("int").alias("flag"))
     return out
 
@@ -81,10 +82,28 @@ def read_distribution(spark: SparkSession, path: str) -> DataFrame:
 def with_previous(samples: DataFrame, previous: DataFrame) -> DataFrame:
     """samples followed by the points of an earlier run, whose ids go on from the highest."""
     top = samples.agg(F.coalesce(F.max("node_id"), F.lit(-1)).alias("_top"))
-    more = previous.crossJoin(F.broadcast(top)).withColumn("node_id", F.col("_top") + F.row_number().over(Window.orderBy("x", "y", "z")))
+    more = numbered(previous.select("x", "y", "z"), ["x", "y", "z"], "_k", 1).crossJoin(F.broadcast(top)).withColumn("node_id", F.col("_top") + F.col("_k"))
     return samples.select("node_id", "x", "y", "z").unionByName(more.select("node_id", "x", "y", "z"))
 
 
+def with_network(samples: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """samples with the ends of an earlier network's segments (those at a sample's place are that sample, the others have the next ids), and its edges src, dst by those ids."""
+    xyz = ["x", "y", "z"]
+    ends = segments.select(*(F.col(f"{c}0").alias(c) for c in xyz)).unionByName(segments.select(*(F.col(f"{c}1").alias(c) for c in xyz))).distinct()
+    own = samples.groupBy(*xyz).agg(F.min("node_id").alias("node_id"))
+    every = cut(samples.select("node_id", *xyz).unionByName(with_previous(samples, ends.join(own, xyz, "left_anti")).join(samples.select("node_id"), "node_id", "left_anti")))
+    first = every.groupBy(*xyz).agg(F.min("node_id").alias("node_id"))
+    at = lambda name, k: first.select(F.col("node_id").alias(name), *(F.col(c).alias(f"{c}{k}") for c in xyz))
+    edges = segments.join(at("src", 0), ["x0", "y0", "z0"]).join(at("dst", 1), ["x1", "y1", "z1"]).filter("src <> dst").select("src", "dst").distinct()
+    return every, edges
+
+
+def write_surface(vertices: DataFrame, triangles: DataFrame, path: str) -> None:
+    """What read_surface reads: v_id from 0 on becomes a vertex number from 1 on."""
+    v = vertices.select(F.concat_ws(" ", F.lit("VRTX"), F.col("v_id") + 1, "x", "y", "z").alias("value"))
+    v.unionByName(triangles.select(F.concat_ws(" ", F.lit("TRGL"), "t_id", "a", "b", "c").alias("value"))).write.mode("overwrite").text(path)
+
+
 def write_points(samples: DataFrame, path: str, properties: Sequence[str] = ()) -> None:
     samples.select(F.col("node_id").alias("Index"), *(F.col(c).alias(c.upper()) for c in "xyz"), *properties).write.mode("overwrite").csv(path, sep="\t", header=True)
 
@@ -112,7 +131,7 @@ def write_graph(edges: DataFrame, samples: DataFrame, path: str) -> None:
 
 def write_network(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes and links as text, numbered from 1 on in the order of ids."""
-    ids = nodes.select("node_id").distinct().withColumn("n", F.row_number().over(Window.orderBy("node_id")))
+    ids = cut(numbered(nodes.select("node_id").distinct(), ["node_id"], "n", 1))
     nodes.select("node_id", "x", "y", "z").dropDuplicates(["node_id"]).join(ids, "node_id").select("n", F.concat_ws(" ", "x", "y", "z").alias("value")).coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(f"{path}_nodes.dat")
     links = edges.join(ids.select(F.col("node_id").alias("src"), F.col("n").alias("a")), "src").join(ids.select(F.col("node_id").alias("dst"), F.col("n").alias("b")), "dst")
     links.coalesce(1).sortWithinPartitions("a", "b").select(F.concat_ws(" ", "a", "b").alias("value")).write.mode("overwrite").text(f"{path}_links.dat")
@@ -126,10 +145,24 @@ def network_segments(edges: DataFrame, nodes: DataFrame, properties: Sequence[st
     return out
 
 
+PROPERTIES = ("cost", "equivalent_radius", "branch_id", "vadose_flag")
+
+
+def write_line(edges: DataFrame, nodes: DataFrame, path: str, properties: Sequence[str] = PROPERTIES) -> None:
+    """A network as a line: a row for each segment, with its ends and two values of each property of nodes(node_id, x, y, z, ...)."""
+    columns = [f"{c}{k}" for k in (0, 1) for c in (*"xyz", *properties)]
+    network_segments(edges, nodes, properties).select("src", "dst", *columns).write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def read_line(spark: SparkSession, path: str, properties: Sequence[str] = PROPERTIES) -> DataFrame:
+    columns = ", ".join(f"{c}{k} double" for k in (0, 1) for c in (*"xyz", *properties))
+    return spark.read.csv(path, sep="\t", header=True, schema=f"src long, dst long, {columns}")
+
+
 def connectivity_matrix(links: DataFrame) -> DataFrame:
     """A row for each sink, a column for each spring, of connectivity(sink_id, spring_id, flag); 0 where there is no link."""
     return links.groupBy("sink_id").pivot("spring_id").agg(F.max("flag")).na.fill(0).orderBy("sink_id")
 
 
 def write_connectivity(links: DataFrame, path: str) -> None:
-    connectivity_matrix(links).drop("sink_id").coalesce(1).write.mode("overwrite").csv(path, sep="\t")
+    connectivity_matrix(links).coalesce(1).sortWithinPartitions("sink_id").drop("sink_id").write.mode("overwrite").csv(path, sep="\t")

@@ -9,7 +9,6 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from tesserine import queries as base
 
 D = "/root/testdata/sf0.001"
 
@@ -22,7 +21,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(base.QUERIES))
+@pytest.mark.parametrize("name", sorted(entry.OWN))
 def test_query(spark, con, name):
     a = entry.queries()[name](spark, D).toPandas()
     sql = entry.oracle_sql().get(name)
