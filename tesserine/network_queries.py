@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.noise import GRADIENTS, REACH, SCALE, noise, permutation
-from .model import CostWeights
-from .operators import amplify, cost, paths, sampling, skeleton, spatial, surface
+from .model import CostWeights, Parameters
+from .operators import amplify, cost, paths, sampling, sizes, skeleton, spatial, surface
 from .plans.lineage import cut
+from .plans.network import build
 from .queries import BRANCHES, EDGE_COSTS, KNN, STAR, SURFACE, WHOLE, graph, plane, points, star, t, whole_graph
 
 
@@ -426,11 +427,31 @@ def iterations(spark, d):
 
 ITERATIONS = "WITH o AS (SELECT DISTINCT o_custkey % 200 AS sink_id, o_orderkey % 7 AS spring_id FROM orders), l AS (SELECT *, ((sink_id + spring_id) % 3)::INTEGER AS flag, i FROM o, range(3) r(i)), m AS (SELECT *, row_number() OVER (PARTITION BY i, sink_id, flag ORDER BY ((sink_id * 1000003 + spring_id) * 1103515245 + 5 + i) % 2147483648, spring_id) AS k FROM l) SELECT i::INTEGER AS iteration, sink_id, spring_id, CASE WHEN flag <> 2 THEN flag WHEN k = 1 THEN 1 ELSE 0 END AS flag FROM m"
 
+def branch_sizes_drawn(spark, d):
+    """Of each branch, how many nodes have a size, and whether all lie in the distribution."""
+    n = t(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("branch_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("node_id"), (F.col("l_orderkey") + F.col("l_linenumber") / 8).alias("along"))
+    got = sizes.conduit_sizes(n, [0.1, 0.2, 0.4, 0.9, 2.0], 40.0, 0.3, 7)
+    return got.groupBy("branch_id").agg(F.count("size").alias("n"), F.every(F.col("size").between(0.1, 2.0)).alias("inside"))
+
+
+def priced_graph(spark, d):
+    """A cost graph from key points, samples, spheres without caves, a topography and two water tables, to the priced edges of each table."""
+    s = points(spark, d).withColumn("x", F.col("x") + 0.1).withColumn("z", (F.col("node_id") % 12).cast("double"))
+    k = t(spark, d, "supplier").filter("s_suppkey <= 3").select(F.col("s_suppkey").alias("kp_id"), (F.col("s_suppkey") * 4.3).cast("double").alias("x"), (F.col("s_suppkey") * 9.7 + 40).cast("double").alias("y"), F.lit(1.5).alias("z"))
+    hollow = spark.createDataFrame([(25.0, 70.0, 5.0, 6.0), (40.0, 60.0, 5.0, 3.0)], "x double, y double, z double, radius double")
+    samples, edges = build(s, k, hollow, tables(spark), (50.0, 60.0, 12.0), Parameters(neighbours=4, cost=CostWeights(vadose=1.0, phreatic=1.0, max_distance=30.0)), 5.0)
+    return edges.groupBy("wt_idx").agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("src").alias("n_nodes"), F.min("rank").alias("least_rank"), F.max("rank").alias("highest_rank")).crossJoin(samples.agg(F.count(F.lit(1)).alias("n_samples"), F.sum(F.col("node_id")).alias("ids")))
+
+
+PRICED = """WITH p AS (SELECT p_size + 0.1::DOUBLE AS x, p_retailprice / 20 AS y, (p_partkey % 12)::DOUBLE AS z FROM part), k AS (SELECT s_suppkey * 4.3::DOUBLE AS x, s_suppkey * 9.7::DOUBLE + 40 AS y, 1.5::DOUBLE AS z FROM supplier WHERE s_suppkey <= 3),
+a AS (SELECT x, y, z FROM k UNION SELECT x, y, z FROM p), kept AS (SELECT * FROM a WHERE NOT (pow(x - 25, 2) + pow(y - 70, 2) + pow(z - 5, 2) < 36 OR pow(x - 40, 2) + pow(y - 60, 2) + pow(z - 5, 2) < 9)), c AS (SELECT count(*) AS n FROM kept)
+SELECT w::INTEGER AS wt_idx, n * 4 AS n_edges, n AS n_nodes, 1 AS least_rank, 4 AS highest_rank, n AS n_samples, (n * (n - 1) // 2)::BIGINT AS ids FROM c, (VALUES (1), (2)) v(w)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         noise_1d, noise_2d, edge_noise, waypoints, normalised_weights, multiplied_costs, knn_within, knn_angles, knn_rotations, water_tables, nearest_surface, related_branches, vadose_counts, average_vadose, always_vadose, branch_length, table_ratio, cycle_length, least_density, hierarchy, crossings, relabelled,
-        assembled_nodes, assembled_edges, segment_network, all_paths, nearest_on_table, path_costs, path_between, conduit_network, concatenated, cohesion_by_table, attached, amplified, amplified_cycles, dead_ends, vadose_pairs, lowest_spring, key_points_first, surface_nodes, on_water_tables, sample_lookup, ghost_rocks, poisson_points, iterations,
+        assembled_nodes, assembled_edges, segment_network, all_paths, nearest_on_table, path_costs, path_between, conduit_network, concatenated, cohesion_by_table, attached, amplified, amplified_cycles, dead_ends, vadose_pairs, lowest_spring, key_points_first, surface_nodes, on_water_tables, sample_lookup, ghost_rocks, poisson_points, iterations, branch_sizes_drawn, priced_graph,
     )
 }
 
@@ -480,4 +501,6 @@ ORACLE_SQL = {
     "ghost_rocks": GHOST,
     "poisson_points": "SELECT true AS many, 0::BIGINT AS too_near, 0::BIGINT AS outside",
     "iterations": ITERATIONS,
+    "branch_sizes_drawn": "SELECT l_orderkey % 50 AS branch_id, count(*) AS n, true AS inside FROM lineitem GROUP BY 1",
+    "priced_graph": PRICED,
 }

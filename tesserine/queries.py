@@ -262,7 +262,16 @@ def fractal_noise(spark, d):
 
 
 def paths_from_one(spark, d):
-    return flagship(t(spark, d, "part"))
+    return flagship(t(spark, d, "part")).withColumn("dist", F.round("dist", 6))
+
+
+PATHS_FROM_ONE = """WITH RECURSIVE p AS (SELECT p_partkey AS node_id, p_size * 20.0::DOUBLE AS x, p_retailprice AS y, (p_partkey % 97)::DOUBLE AS z FROM part),
+n AS (SELECT a.node_id AS src, b.node_id AS dst, pow(b.x / 1000 - a.x / 1000, 2) + pow(b.y / 2000 - a.y / 2000, 2) + pow(b.z / 97 - a.z / 97, 2) AS d2, a.y AS sy, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM p a JOIN p b ON a.node_id <> b.node_id),
+r AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS l FROM n QUALIFY row_number() OVER (PARTITION BY src ORDER BY d2, dst) <= 8),
+c AS (SELECT src, dst, l, greatest(1 + CASE WHEN sy < 1000 THEN 1 - CASE WHEN abs(sy - 1000) < 50 THEN pow(1 - abs(sy - 1000) / 50, 3) ELSE 0 END ELSE (CASE WHEN l > 0 THEN dz / l ELSE 0 END + 1) / 2 END, 1e-5) AS cost FROM r),
+e AS (SELECT src, dst, cost * (l - (SELECT min(l) FROM c)) / ((SELECT max(l) FROM c) - (SELECT min(l) FROM c)) AS weight FROM c),
+w(node, dist, hops) USING KEY (node) AS (SELECT 1::BIGINT, 0.0::DOUBLE, 0 UNION (SELECT node, b.d, b.h FROM (SELECT e.dst AS node, min({d: w.dist + e.weight, h: w.hops + 1}) AS b FROM w JOIN e ON e.src = w.node GROUP BY e.dst) k LEFT JOIN recurring.w AS o USING (node) WHERE o.dist IS NULL OR b < {d: o.dist, h: o.hops}))
+SELECT node AS node_id, round(dist, 6) AS dist, hops FROM w"""
 
 
 QUERIES = {
@@ -273,6 +282,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "paths_from_one": PATHS_FROM_ONE,
     "knn_points": f"WITH {KNN} SELECT query_id, node_id, rank, round(d2, 6) AS d2 FROM r WHERE rank <= 5",
     "knn_vectors": vectors_sql(5, f"{D} * {D}", False),
     "knn_vectors_l1": vectors_sql(3, f"abs({D})", True),
