@@ -102,5 +102,16 @@ def joined(parts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a) if a else np.empty(0, kind)), np.repeat(np.arange(len(a)), [len(x) for x in a]).astype(np.int64)
 
 
+def flat(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays in a binary column in a row, without a copy of each, and the row that each value came from."""
+    a = column.combine_chunks()
+    if isinstance(a, pa.ChunkedArray):
+        a = pa.concat_arrays(a.chunks) if a.num_chunks else pa.array([], pa.binary())
+    off = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int32)
+    data = a.buffers()[2] if len(a) else None
+    values = np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind) if data is not None and off[-1] > off[0] else np.empty(0, kind)
+    return values, np.repeat(np.arange(len(a)), np.diff(off) // np.dtype(kind).itemsize)
+
+
 def split_rows(doc: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n + 1))

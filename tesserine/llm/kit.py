@@ -50,6 +50,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return place
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation of what led to it."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -58,6 +65,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def tidy() -> None:
     """Gives memory that a worker no longer uses back to the system; a worker lives on for later stages."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)

@@ -10,6 +10,7 @@ documents, in one executor task; every document is then scored.
 from __future__ import annotations
 
 import pickle
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kit
-from .features import BUCKETS, STATS, first_ids, joined, matching, split_rows, structure, sum_by, train_in_one_task, word_counts
+from .features import BUCKETS, STATS, first_ids, flat, matching, split_rows, structure, sum_by, train_in_one_task, word_counts
 
 META = 1 << 10
 SIZE = BUCKETS + META + len(STATS)
@@ -128,27 +129,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, seed: int =
         for b in kit.slices(batches):
             doc, idx, val, stats, n = featurise(b)
             at = split_rows(doc, n)
-            yield pa.RecordBatch.from_arrays([b.column("y"), kit.binary([idx[at[k] : at[k + 1]] for k in range(n)]), kit.binary([val[at[k] : at[k + 1]] for k in range(n)]), kit.binary(list(stats))], ["y", "idx", "val", "stats"])
+            own = kit.binary([idx[at[k] : at[k + 1]] for k in range(n)])
+            key = pa.array([zlib.crc32(x.as_buffer()) for x in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("y"), key, own, kit.binary([val[at[k] : at[k + 1]] for k in range(n)]), kit.binary(list(stats))], ["y", "key", "idx", "val", "stats"])
 
     def fit(t: pa.Table) -> pa.Table:
-        order = np.lexsort(([hash_bytes(x) for x in t.column("idx").to_pylist()], t.column("y").to_numpy()))
-        t = t.take(pa.array(order))  # the order in which rows come doesn't matter
-        idx, doc = joined(t.column("idx").to_pylist(), np.int32)
-        val, _ = joined(t.column("val").to_pylist(), np.float32)
-        stats = np.stack([np.frombuffer(x, np.float32) for x in t.column("stats").to_pylist()])
+        t = t.take(pa.array(np.lexsort((t.column("key").to_numpy(), t.column("y").to_numpy()))))  # the order in which rows come doesn't matter
+        idx, doc = flat(t.column("idx"), np.int32)
+        val, _ = flat(t.column("val"), np.float32)
+        stats = flat(t.column("stats"), np.float32)[0].reshape(t.num_rows, -1)
         return pa.table({"model": [pickle.dumps(fit_machine(t.column("y").to_numpy().astype(float), doc, idx, val, stats, seed=seed))]})
 
     sample = matching(prepared(docs).filter("text is not null"), ids.select("doc_id", "y")).select("doc_id", "text", "source", "lang", "y")
-    row = train_in_one_task(sample.mapInArrow(kit.batchwise(rows), "y int, idx binary, val binary, stats binary"), fit, "model binary")
+    row = train_in_one_task(sample.mapInArrow(kit.batchwise(rows), "y int, key long, idx binary, val binary, stats binary"), fit, "model binary")
     return pickle.loads(row.model) if row else None
 
 
-def hash_bytes(b: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(b)
-
-
 def prepared(docs: DataFrame) -> DataFrame:
     """doc_id, text, source and lang of docs by their own types; a column that is missing is null."""
     return docs.select(*((F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("source", "string"), ("lang", "string"))))

@@ -57,7 +57,7 @@ def shared_sets(rows: DataFrame, column: str, tokenise: Tokenise, tokens: int, t
     def spread(batches):
         task = TaskContext.get()
         batch = (task.partitionId() if task else 0) << 28
-        for b in kit.slices(batches, column, 3 << 20):
+        for b in kit.slices(batches, column, 2 << 20):
             h, doc = tokenise(b)
             n = np.bincount(doc, minlength=b.num_rows).astype(np.int32)
             near = np.bincount(doc * 8 + ((h >> U64(37)) & U64(7)).astype(np.int64), minlength=8 * b.num_rows)
