@@ -49,15 +49,17 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packed),
 ]
 
-#: The classifier, the alignment and the tournament tree can't be written in SQL; tests/llm/test_pipeline.py has a brute-force run.
+#: The classifier, the alignment and the tournament tree can't be written in SQL; tests/llm/test_methods.py has a brute-force run.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each one's result written to the shared folder and read again; null and empty texts, ties, repeated rows and empty tables as each operator's docstring says."""
+    """All stages over the documents of sf_dir, each one's result written to the shared folder, read again, and removed when the next is written; null and empty texts, ties, repeated rows and empty tables as each operator's docstring says."""
     docs = table(spark, sf_dir, "documents")
     place = f"{kit.ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            kit.remove(spark, f"{place}/{k - 1}")
     return docs
