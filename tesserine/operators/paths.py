@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import seeded_pair
-from ..plans.lineage import cut, numbered
+from ..plans.lineage import cut, kept_by, numbered
 from .cost import used_edges
 
 
@@ -15,15 +15,16 @@ def distances(edges: DataFrame, sources: DataFrame, max_rounds: int | None = Non
     """source, node, dist, prev and hops (the path's edges) of every node reached from sources(source), or, with sources(source, start), from start.
 
     edges(src, dst, weight) are directed, weights not negative. Each round
-    extends only what the last one improved; rows are of a few numbers, so that
-    a round's shuffle grows with the nodes and not with their paths. With
+    extends only what the last one improved, which alone is shuffled to the
+    edges; rows are of a few numbers, so that a round's other shuffle, of the
+    best distances, grows with the nodes and not with their paths. With
     max_rounds, paths have so many edges at most; with target, the rounds stop
     once nothing in hand is nearer than the target. Ties go to the path of
     fewer edges, then the smaller predecessor. With penalty(source, node,
     factor), edges that leave node cost that source factor times as much.
     Unreachable nodes have no row.
     """
-    e = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    e = kept_by(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "src")
     begin = F.col("start" if "start" in sources.columns else "source").cast("long").alias("node")
     best = cut(sources.select(F.col("source").cast("long").alias("source"), begin, F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("prev"), F.lit(0).alias("hops")).distinct())
     k = 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.lineage import cut, numbered
+from ..plans.lineage import cut, kept_by, numbered
 
 
 def from_paths(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +44,7 @@ def valence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node_id and component, the smallest id that hangs together with it; labels spread along edges and then by pointer jumping, so long chains take few rounds."""
-    e = cut(both_ways(edges))
+    e = kept_by(both_ways(edges), "dst")
     now = cut(nodes.select("node_id", F.col("node_id").alias("component")).distinct())
     while True:
         near = e.join(now.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id")).agg(F.min("component").alias("_n"))

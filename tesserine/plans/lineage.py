@@ -32,6 +32,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept_by(df: DataFrame, *keys: str) -> DataFrame:
+    """cut(df), laid out by the hash of keys and sorted by them, so that joins on them shuffle and sort the other side only.
+
+    A cut remembers its layout if the plan behind it was not adaptive, so
+    adaptive execution is off while it is made.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    laid = df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(laid)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def in_order(df: DataFrame, name: str, start: int = 0) -> DataFrame:
     """df with a column that numbers its rows as they lie, from start on: each partition counts its own, and a table of a row per partition has where each begins."""
     kept = cut(df).withColumn("_m", F.monotonically_increasing_id())
