@@ -160,6 +160,99 @@ def test_poisson_disk(spark):
     assert (d >= np.minimum(r[:, None], r[None]) - 1e-9).all()
 
 
+def test_no_tile_with_a_small_dense_region_is_empty():
+    for k in range(12):
+        low = np.array([k, 0.0, 0.0])
+        radius = lambda q, k=k: np.where((q[:, 0] - k < 0.17) & (q[:, 1] < 0.17) & (q[:, 2] < 0.17), 0.05, 0.0)
+        assert len(sampling.darts(low, low + 1, radius, 0.05, 10, np.random.default_rng(k)))
+
+
+def test_sphere_join_is_on_cells(spark):
+    rng = np.random.default_rng(4)
+    p = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(rng.uniform(-20, 20, (300, 3)))], P)
+    rows = [(*map(float, r[:3]), float(abs(r[3]) / 5)) for r in rng.uniform(-20, 20, (40, 4))]
+    s = spark.createDataFrame(rows, "x double, y double, z double, radius double")
+    out = spatial.outside_spheres(p, s)
+    want = {r.node_id for r in p.collect() if all((r.x - a) ** 2 + (r.y - b) ** 2 + (r.z - c) ** 2 >= d * d for a, b, c, d in rows)}
+    assert {r.node_id for r in out.collect()} == want and len(want) < 300
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert spatial.outside_spheres(p, s.limit(0)).count() == 300
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2", "so2", "so3"])
+def test_vector_search_in_blocks(spark, monkeypatch, metric):
+    monkeypatch.setattr(spatial, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    x = rng.uniform(-3, 3, (70, 1 if metric == "so2" else 4))
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)] + [(99, None)], "id long, v array<double>")
+    got = spatial.brute_knn(v, v, 3, "v", "id", "id", metric, exclude_self=True).collect()
+    by_column = spatial.brute_knn(v, v, 3, "v", "id", "id", geometry.METRICS[metric], exclude_self=True).collect()
+    assert {(g.query_id, g.rank): g.node_id for g in got} == {(g.query_id, g.rank): g.node_id for g in by_column} and len(got) == 210
+    with pytest.raises(ValueError):
+        spatial.brute_knn(v, v, 3, "v", "id", "id", "none")
+
+
+def test_numbering_without_one_task(spark):
+    from tesserine.plans.lineage import in_order, kept_by, numbered
+
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 as v").repartition(7)
+    assert [r.n for r in numbered(df, ["v"], "n", 5).orderBy("v").collect()] == list(range(5, 1005))
+    assert sorted(r.n for r in in_order(df, "n").collect()) == list(range(1000))
+    e = kept_by(spark.range(100).selectExpr("id as src", "id % 9 as dst"), "src")
+    joined = spark.range(50).withColumnRenamed("id", "node").join(e, F.col("node") == F.col("src"))
+    assert joined.count() == 50 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_cohesion_of_one_table_only(spark):
+    e = spark.createDataFrame([(1, 2, 4.0, 1), (1, 2, 4.0, 2), (2, 3, 4.0, 1), (2, 3, 4.0, 2)], "src long, dst long, weight double, wt_idx int")
+    below = spark.createDataFrame([(1, 2), (2, 1), (2, 2)], "node_id long, wt_idx int")
+    got = {(r.src, r.wt_idx): r.weight for r in cost.used_edges(e, e.filter("wt_idx = 1").select("src", "dst"), 0.5, below).collect()}
+    assert got == {(1, 1): 4.0, (1, 2): 2.0, (2, 1): 2.0, (2, 2): 2.0}
+
+
+def test_cycles_avoid_their_own_branch(spark):
+    p = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 4.0, 0.0, 0.0), (2, 8.0, 0.0, 0.0), (3, 4.0, 5.0, 0.0)], P)
+    g = spark.createDataFrame([(0, 1, 2.0), (1, 2, 2.0), (0, 3, 3.0), (3, 2, 3.0)], "src long, dst long, weight double")
+    pairs = spark.createDataFrame([(0, 2, 8.0)], "u long, v long, dist double")
+    same = spark.createDataFrame([(0, "1"), (2, "1.2")], "node_id long, branch string")
+    other = spark.createDataFrame([(0, "1.1"), (2, "1.2")], "node_id long, branch string")
+    assert amplify.cycles(g, pairs, p).first().path == [0, 1, 2] and amplify.cycles(g, pairs, p, other).first().path == [0, 1, 2]
+    found = amplify.cycles(g, pairs, p, same)
+    assert found.first().path == [0, 3, 2] and found.first().length == 6.0
+    assert {(r.src, r.dst) for r in amplify.appended(g.limit(1), found).collect()} == {(0, 1), (3, 0), (2, 3)}
+
+
+def test_conduit_sizes(spark):
+    from tesserine.operators import sizes
+
+    n = spark.range(4000).selectExpr("id % 20 as branch_id", "id as node_id", "id / 20 * 0.5 as along")
+    a = sizes.conduit_sizes(n, np.linspace(0, 1, 101), 10.0, 0.4, 3).toPandas().sort_values("node_id").reset_index(drop=True)
+    assert len(a) == 4000 and a["size"].between(0, 1).all() and 0.3 < a["size"].mean() < 0.7
+    b = sizes.conduit_sizes(n.repartition(5), np.linspace(0, 1, 101), 10.0, 0.4, 3).toPandas().sort_values("node_id").reset_index(drop=True)
+    assert np.allclose(a["size"], b["size"])
+    z = sizes.scores(np.arange(20000) * 1.0, 30.0, 0.0, np.random.default_rng(1))
+    assert np.corrcoef(z[:-10], z[10:])[0, 1] == pytest.approx(np.exp(-1), abs=0.05)
+    with pytest.raises(ValueError):
+        sizes.conduit_sizes(n, [], 10.0)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tesserine.plans.lineage import shared_folder
+
+    none = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: none)))
+    with pytest.raises(ValueError):
+        shared_folder(fake)
+
+
+def test_perlin_table():
+    assert sorted(N.TABLE) == list(range(256)) and N.permutation()[0] == 151
+    assert N.simplex(np.array([[0.5]]), N.TABLE)[0] != 0 and N.simplex(np.array([[3.0]]), N.TABLE)[0] == 0
+
+
 def test_amplify(spark):
     p = spark.createDataFrame([(k, float(k), 0.0, 0.0) for k in range(6)], P)
     e = spark.createDataFrame([(k, k + 1) for k in range(5)], "src long, dst long")
