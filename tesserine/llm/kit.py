@@ -12,8 +12,6 @@ from __future__ import annotations
 
 import ctypes
 import math
-import re
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import lineage
+
 U64 = np.uint64
 BASE = pow(0x9E3779B97F4A7C15, 3, 1 << 64) | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
@@ -35,19 +35,8 @@ except (OSError, AttributeError):  # not glibc
     _libc = None
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset and all runs in one process (tests) a temporary one; on a cluster without that setting, ValueError."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    now = sc._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return place or now.get()
-    if place is None:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        place = tempfile.mkdtemp(prefix="tesserine-")
-    sc.setCheckpointDir(place)
-    return place
+ensure_checkpoint_dir = lineage.shared_folder
+cut = lineage.cut
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -57,12 +46,6 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation of what led to it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def tidy() -> None:
     """Gives memory that a worker no longer uses back to the system; a worker lives on for later stages."""
     _powers.clear()
