@@ -122,7 +122,7 @@ def network_file(spark, d):
 
 def line_file(spark, d):
     """A network's segments with two values of each property, written and read."""
-    path = place(spark, "karst")
+    path = place(spark, "line")
     e = whole_graph(spark, d).select("src", "dst").distinct()
     n = t(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), *((F.col("s_suppkey") * m).cast("double").alias(c) for c, m in (("x", 1.5), ("y", 2.0), ("z", 0.5), ("cost", 3.0), ("equivalent_radius", 0.25))), (F.col("s_suppkey") % 3).cast("double").alias("branch_id"), (F.col("s_suppkey") % 2).cast("double").alias("vadose_flag"))
     text.write_line(e, n, path)
