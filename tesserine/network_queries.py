@@ -343,6 +343,12 @@ w(source, node, dist) USING KEY (source, node) AS (SELECT pair_id, u, 0.0::DOUBL
 SELECT pair_id, u, v, round(w.dist, 6) AS length FROM own JOIN w ON source = pair_id AND node = v"""
 
 
+GROWN = AMPLIFIED[: AMPLIFIED.index("w(source, node, dist) USING KEY")] + """w(source, node, dist, hops) USING KEY (source, node) AS (SELECT pair_id, u, 0.0::DOUBLE, 0 FROM own UNION (SELECT source, node, b.d, b.h FROM (SELECT w.source, e.dst AS node, min({d: w.dist + e.weight * coalesce(factor, 1), h: w.hops + 1}) AS b FROM w JOIN e ON e.src = w.node LEFT JOIN pen ON pair_id = w.source AND node_id = w.node GROUP BY w.source, e.dst) c LEFT JOIN recurring.w AS o USING (source, node) WHERE o.dist IS NULL OR b < {d: o.dist, h: o.hops})),
+p AS (SELECT w.source, w.node, min(e.src) AS prev FROM w JOIN e ON e.dst = w.node JOIN w k ON k.source = w.source AND k.node = e.src LEFT JOIN pen ON pair_id = w.source AND node_id = e.src WHERE k.hops + 1 = w.hops AND k.dist + e.weight * coalesce(factor, 1) = w.dist GROUP BY ALL),
+tr(source, node, pos) AS (SELECT source, node, hops FROM own JOIN w ON source = pair_id AND node = v UNION ALL SELECT tr.source, prev, pos - 1 FROM tr JOIN p ON p.source = tr.source AND p.node = tr.node)
+SELECT src, dst FROM e WHERE src % 3 = 0 UNION SELECT a.node, b.node FROM tr a JOIN tr b ON a.source = b.source AND a.pos = b.pos + 1"""
+
+
 def dead_ends(spark, d):
     s = spots(spark, d)
     starts = amplify.dead_end_starts(s, s.filter("node_id % 3 = 0").select("node_id", "x", "y", "z"), 12.0, 15, 3)
@@ -490,6 +496,7 @@ ORACLE_SQL = {
     "concatenated": CONCATENATED,
     "cohesion_by_table": COHESION,
     "attached": ATTACHED,
+    "amplified": GROWN,
     "amplified_cycles": AMPLIFIED,
     "dead_ends": DEAD_ENDS,
     "vadose_pairs": VADOSE_PAIRS,
