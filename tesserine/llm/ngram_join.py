@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import kit
 from .components import components
-from .setjoin import set_join
+from .setjoin import classes, search, set_join
 
 
 def gram_sets(n: int):
@@ -37,6 +37,22 @@ def similar_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, spanning:
     return set_join(slim, "text", gram_sets(n), size // 5, threshold, spanning).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.col("similarity").alias("jaccard"))
 
 
+def similar_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
+    """doc_id, class_id and links, a row for each doc_id: the smallest doc_id of its connected component of similar_pairs, and the number of documents that it is similar to.
+
+    As similar_pairs, but as many rows as documents, however large the groups
+    of copies are. A document similar to nothing (so those with null texts or
+    without words) is a class of its own, with 0 links. Rows with null doc_id
+    are left out, the rows of one doc_id are one document. An empty table
+    gives no rows.
+    """
+    _, size = kit.measure(docs)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = classes(*search(slim, "text", gram_sets(n), size // 5, threshold))
+    every = slim.filter("doc_id is not null").select("doc_id").distinct()
+    return every.join(found, every["doc_id"] == found["id"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def drop_similar(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     """docs, with all columns, without the documents of each group of similar ones but that with the smallest doc_id.
 

@@ -37,6 +37,10 @@ from .components import components, link
 U64 = kit.U64
 #: text batch -> tokens and the text of each, distinct in a text, in the order of texts
 Tokenise = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
+#: rows, other rows (None: the same) -> similarity of each with each
+Similarity = Callable[[pa.Table, pa.Table | None], np.ndarray]
+#: rows, other rows (None: the same), their similarities -> columns
+Answer = Callable[[pa.Table, pa.Table | None, np.ndarray], tuple[np.ndarray, ...]]
 BLOCK = 1024
 PACK = "bucket int, batch long, low binary, high binary, code binary, doc binary"
 
@@ -263,7 +267,7 @@ def twins(rows: DataFrame, column: str) -> DataFrame:
     return kit.cut(groups.select("rep", F.explode("_ids").alias("doc_id")).filter("doc_id <> rep").select("doc_id", "rep"))
 
 
-def verified(payload: DataFrame, size: str, roots: DataFrame, same: DataFrame, similarity: Callable[[pa.Table, pa.Table | None], np.ndarray], threshold: float, spanning: bool = False) -> DataFrame:
+def verified(payload: DataFrame, size: str, roots: DataFrame, same: DataFrame, similarity: Similarity, threshold: float, spanning: bool = False) -> DataFrame:
     """a < b and similarity of the pairs of payload rows in the same component that reach the threshold.
 
     payload has doc_id and what similarity() needs; size is its binary
@@ -273,7 +277,7 @@ def verified(payload: DataFrame, size: str, roots: DataFrame, same: DataFrame, s
     """
     n_same = same.count()
     gone = kit.if_small(same.select(F.col("doc_id").alias("id")), n_same)
-    pairs = among(payload, size, roots.join(gone, "id", "left_anti"), similarity, threshold, spanning)
+    pairs = among(payload, size, roots.join(gone, "id", "left_anti"), similarity, pairs_of(threshold, spanning), "a long, b long, similarity double")
     if spanning:
         return pairs.unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
     if not n_same:
@@ -287,48 +291,108 @@ def verified(payload: DataFrame, size: str, roots: DataFrame, same: DataFrame, s
     return spread.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").unionByName(within)
 
 
-def among(payload: DataFrame, size: str, roots: DataFrame, similarity: Callable[[pa.Table, pa.Table | None], np.ndarray], threshold: float, spanning: bool) -> DataFrame:
-    """verified() without twins."""
-    sized = kit.cut(roots.join(roots.groupBy("root").count(), "root").select("id", "root", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+def classes(payload: DataFrame, size: str, roots: DataFrame, same: DataFrame, similarity: Similarity, threshold: float) -> DataFrame:
+    """id, class_id and links of the documents of verified()'s pairs, a row each: the smallest doc_id among those that hang together by pairs, and how many pairs the document is in.
+
+    No pair is written: a block gives its documents' counts, in which a rep
+    weighs as much as its twins and itself, and what joins them up.
+    """
+    n_same = same.count()
+    gone = kit.if_small(same.select(F.col("doc_id").alias("id")), n_same)
+    more = kit.cut(same.groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("more")))
+    weighed = roots.join(gone, "id", "left_anti").join(kit.if_small(more, n_same), "id", "left").select("id", "root", (F.coalesce("more", F.lit(0)) + 1).alias("weight"))
+    found = kit.cut(among(payload, size, weighed, similarity, links_of(threshold), "id long, near long, links long"))
+    whole = components(found.select(F.col("id").alias("a"), F.col("near").alias("b")))
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    reps = links.join(more, "id", "full_outer").join(whole, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("links"))
+    reps = kit.cut(reps)
+    return reps.unionByName(same.join(reps.withColumnRenamed("id", "rep"), "rep").select(F.col("doc_id").alias("id"), "class_id", "links"))
+
+
+def pairs_of(threshold: float, spanning: bool) -> Answer:
+    """a < b and similarity of the pairs that reach the threshold; for among()."""
+
+    def answer(left: pa.Table, right: pa.Table | None, sim: np.ndarray) -> tuple[np.ndarray, ...]:
+        doc = np.concatenate([t.column("doc_id").to_numpy() for t in (left, right) if t is not None])
+        p, q = np.nonzero(np.triu(sim >= threshold, 1) if right is None else sim >= threshold)
+        s, q = sim[p, q], q + (0 if right is None else left.num_rows)
+        if spanning:
+            labels = link(np.arange(len(doc)), p, q)
+            p = np.flatnonzero(labels != np.arange(len(doc)))
+            q, s = labels[p], np.ones(len(p))
+        a, b = doc[p], doc[q]
+        return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], s[a != b]
+
+    return answer
+
+
+def links_of(threshold: float) -> Answer:
+    """Of each document with pairs that reach the threshold: id, near (the first in the blocks that it hangs together with) and links, the sum of the others' weights; for among()."""
+
+    def documents(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each document's first row, for rows of one doc_id are one document, its id and weight."""
+        doc = t.column("doc_id").to_numpy()
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        return first, doc[first], t.column("weight").to_numpy()[first]
+
+    def answer(left: pa.Table, right: pa.Table | None, sim: np.ndarray) -> tuple[np.ndarray, ...]:
+        first, doc, weight = documents(left)
+        over, other, far = (first, doc, weight) if right is None else documents(right)
+        ok = np.logical_or.reduceat(np.logical_or.reduceat(sim >= threshold, first, axis=0), over, axis=1)
+        if right is None:
+            np.fill_diagonal(ok, False)
+        p, q = np.nonzero(ok)
+        count = np.bincount(p, far[q], len(doc))
+        if right is not None:
+            doc, count, q = np.concatenate([doc, other]), np.concatenate([count, np.bincount(q, weight[p], len(other))]), q + len(doc)
+        labels = link(np.arange(len(doc)), p, q)
+        some = np.flatnonzero(count)
+        return doc[some], doc[labels[some]], count[some].astype(np.int64)
+
+    return answer
+
+
+def among(payload: DataFrame, size: str, roots: DataFrame, similarity: Similarity, answer: Answer, schema: str) -> DataFrame:
+    """What answer gives for the rows of payload of every component, in blocks if there are many of them, each block against itself and each of the others. roots may have columns for answer beside id and root."""
+    extra = [c for c in roots.columns if c not in ("id", "root")]
+    sized = kit.cut(roots.join(roots.groupBy("root").count(), "root").select("id", "root", *extra, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     rows = sized.count()
     groups = kit.parts(payload.agg(F.sum(F.octet_length(size))).first()[0] or 0, 4 << 20)
-    columns = [c for c in payload.columns if c != "doc_id"]
+    columns = [*(c for c in payload.columns if c != "doc_id"), *extra]
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     spread = payload.join(kit.if_small(sized, rows), payload["doc_id"] == sized["id"]).select("doc_id", *columns, "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("doc_id", *columns, "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     spread = spread.withColumn("part", F.pmod(F.xxhash64("root", "i", "j"), F.lit(groups)))
+    fields = [x.split() for x in schema.split(", ")]
 
     def meet(t: pa.Table) -> pa.Table:
         t = t.sort_by([(c, "ascending") for c in ("root", "i", "j", "own", "doc_id")]).combine_chunks()
-        root, i, j, own, doc = (t.column(c).to_numpy() for c in ("root", "i", "j", "own", "doc_id"))
-        t = t.select(columns)
+        root, i, j, own = (t.column(c).to_numpy() for c in ("root", "i", "j", "own"))
+        t = t.select(["doc_id", *columns])
         new = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        out: list[tuple[np.ndarray, ...]] = [tuple(np.empty(0, np.int64 if kind == "long" else np.float64) for _, kind in fields)]
         for x, y in zip(new.tolist(), [*new[1:].tolist(), len(root)], strict=True):
             cross = i[x] != j[x]
             mid = x + int(np.count_nonzero(own[x:y] == i[x])) if cross else y
             if y - x < 2 or cross and mid in (x, y):
                 continue
-            sim = similarity(t.slice(x, mid - x), t.slice(mid, y - mid) if cross else None)
-            p, q = np.nonzero(sim >= threshold if cross else np.triu(sim >= threshold, 1))
-            s, p, q = sim[p, q], p + x, q + (mid if cross else x)
-            if spanning:
-                labels = link(np.arange(y - x), p - x, q - x)
-                p = np.flatnonzero(labels != np.arange(y - x)) + x
-                q, s = labels[p - x] + x, np.ones(len(p))
-            out.append((np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q]), s))
-        a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"a": a[a != b], "b": b[a != b], "similarity": s[a != b]})
+            left, right = t.slice(x, mid - x), t.slice(mid, y - mid) if cross else None
+            out.append(answer(left, right, similarity(left, right)))
+        return pa.table({name: np.concatenate(c) for (name, _), c in zip(fields, zip(*out, strict=True), strict=True)})
 
-    return spread.groupBy("part").applyInArrow(kit.groupwise(meet), "a long, b long, similarity double")
+    return spread.groupBy("part").applyInArrow(kit.groupwise(meet), schema)
 
 
-def set_join(rows: DataFrame, column: str, tokenise: Tokenise, tokens: int, threshold: float, spanning: bool = False) -> DataFrame:
-    """a < b and similarity of every pair of doc_id whose sets reach the threshold, each pair once."""
+def search(rows: DataFrame, column: str, tokenise: Tokenise, tokens: int, threshold: float) -> tuple[DataFrame, str, DataFrame, DataFrame, Similarity, float]:
+    """What verified() and classes() take."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0, and 1 at most")
     sets = shared_sets(rows, column, tokenise, tokens, threshold)
     roots = components(candidates(sets, threshold))
-    same = twins(sets.filter("own = 0"), "keys")
-    pairs = verified(sets.select("doc_id", "n", "keys"), "keys", roots, same, of_sets(), threshold, spanning)
+    return sets.select("doc_id", "n", "keys"), "keys", roots, twins(sets.filter("own = 0"), "keys"), of_sets(), threshold
+
+
+def set_join(rows: DataFrame, column: str, tokenise: Tokenise, tokens: int, threshold: float, spanning: bool = False) -> DataFrame:
+    """a < b and similarity of every pair of doc_id whose sets reach the threshold, each pair once."""
+    pairs = verified(*search(rows, column, tokenise, tokens, threshold), spanning)
     return pairs if spanning else pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

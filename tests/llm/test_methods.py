@@ -124,10 +124,58 @@ def test_fingerprints_find_all_pairs(spark, place, most):
 
 
 def test_ngram_join_against_sql(spark):
+    from tesserine.llm import ngram_join
+
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
-    want = {(r[0], r[1]): r[2] for r in con.execute(queries.ORACLE_SQL["op4_ngram_join"]).fetchall()}
-    assert {(r.doc_a, r.doc_b): r.jaccard for r in queries.op4_ngram_join(spark, D).collect()} == want and want
+    want = {(r[0], r[1]): r[2] for r in con.execute(queries.PAIRS_SQL).fetchall()}
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.similar_pairs(queries.table(spark, D, "documents")).collect()} == want and want
+    rows = con.execute(queries.ORACLE_SQL["op4_ngram_join"]).fetchall()
+    assert sorted((r.doc_id, r.class_id, r.links) for r in queries.op4_ngram_join(spark, D).collect()) == sorted(rows) and any(r[2] for r in rows)
+
+
+def classes_of(ids, pairs):
+    """doc_id: (class_id, links), from all pairs."""
+    links = {x: {b for a, b in [*pairs, *((b, a) for a, b in pairs)] if a == x} for x in ids}
+    out = {}
+    for x in ids:
+        seen, todo = {x}, [x]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        out[x] = min(seen), len(links[x])
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_ngram_classes_are_those_of_all_pairs(spark, monkeypatch, block):
+    from tesserine.llm import ngram_join, setjoin
+
+    monkeypatch.setattr(setjoin, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    base = [[f"{c}{k}" for k in range(30)] for c in "abc"]
+    rows = []
+    for k in range(150):  # copies, near copies with links among them or not, and some ids with several texts
+        words = list(base[k % 3])
+        for at in rng.integers(0, 30, rng.integers(0, 5)):
+            words[at] = f"x{rng.integers(0, 40)}"
+        rows.append((int(rng.integers(0, 120)), " ".join(words)))
+    rows += [(500, None), (501, " "), (502, "quite another text"), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = {(r.doc_a, r.doc_b) for r in ngram_join.similar_pairs(docs).collect()}
+    out = ngram_join.similar_classes(docs).collect()
+    assert len(out) == len({r.doc_id for r in out})
+    assert {r.doc_id: (r.class_id, r.links) for r in out} == classes_of({x for x, _ in rows if x is not None}, pairs) and len(pairs) > 300
+
+
+def test_ngram_rows_grow_as_the_documents(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve".split()
+    docs = spark.createDataFrame([(k, " ".join([*base, f"w{k // 2}"])) for k in range(1200)], "doc_id long, text string")
+    place = f"{kit.ensure_checkpoint_dir(spark)}/many_near_copies"
+    docs.write.mode("overwrite").parquet(f"{place}/documents.parquet")
+    out = queries.op4_ngram_join(spark, place).collect()
+    assert len(out) == 1200 and {(r.class_id, r.links) for r in out} == {(0, 1199)}
 
 
 def test_large_groups_meet_in_blocks(spark, monkeypatch):
