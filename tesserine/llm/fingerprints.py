@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kit
 from .components import components
-from .setjoin import candidates, shared_sets, twins, verified
+from .setjoin import candidates, classes, shared_sets, twins, verified
 
 WINDOW, RUN, POINTS = 64, 64, 16
 BITS, HASHES, FULL, CHANCE = 2048, 5, 160, 0.3
@@ -166,17 +166,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return rank
 
 
-def fingerprints(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, n_features, n_filters, digest, and similar: the doc_ids, ascending, whose digests have a similarity of threshold or more.
-
-    Null texts and texts with no feature, such as those under 127 bytes: 0
-    features, 0 filters, an empty digest, similar to nothing. Very long texts have as many filters as their
-    features need. A similarity equal to the threshold counts. Null doc_id:
-    digested, but in no list, and with an empty one. Repeated rows have the
-    same digest; no doc_id is in its own list, and the rows of one doc_id have
-    the same list. An empty table gives no rows. Other columns are ignored,
-    whatever their names.
-    """
+def digested(docs: DataFrame, threshold: float) -> tuple[DataFrame, tuple]:
+    """doc_id, n_features, features and digest of all docs; what setjoin.verified and classes take."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(rarity(slim.select("text")))
@@ -202,8 +193,35 @@ def fingerprints(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         return digest_scores(*read(left), *((None, None) if right is None else read(right)))
 
     digests = found.filter("doc_id is not null and n_features > 0").select("doc_id", "n_features", "digest")
-    pairs = verified(digests, "digest", roots, twins(digests, "digest"), similarity, threshold)
+    return found, (digests, "digest", roots, twins(digests, "digest"), similarity, threshold)
+
+
+def fingerprints(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, n_features, n_filters, digest, and similar: the doc_ids, ascending, whose digests have a similarity of threshold or more.
+
+    Null texts and texts with no feature, such as those under 127 bytes: 0
+    features, 0 filters, an empty digest, similar to nothing. Very long texts have as many filters as their
+    features need. A similarity equal to the threshold counts. Null doc_id:
+    digested, but in no list, and with an empty one. Repeated rows have the
+    same digest; no doc_id is in its own list, and the rows of one doc_id have
+    the same list. An empty table gives no rows. Other columns are ignored,
+    whatever their names.
+    """
+    found, searched = digested(docs, threshold)
+    pairs = verified(*searched)
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lists = both.groupBy(F.col("a").alias("_id")).agg(F.array_sort(F.collect_set("b")).alias("similar"))
     out = found.join(lists, F.col("doc_id") == F.col("_id"), "left")
     return out.select("doc_id", "n_features", F.ceil(F.col("n_features") / FULL).alias("n_filters"), "digest", F.coalesce("similar", F.array().cast("array<long>")).alias("similar"))
+
+
+def fingerprint_classes(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, n_features, n_filters, digest, class_id and links of every row: the smallest doc_id among the documents that hang together by digests with a similarity of threshold or more, and how many documents have such a digest.
+
+    As fingerprints, without the lists, whose lengths add up to the square of
+    a group of copies. A document similar to nothing is a class of its own,
+    with 0 links; null doc_id: null class_id, 0 links.
+    """
+    found, searched = digested(docs, threshold)
+    out = found.join(classes(*searched), F.col("doc_id") == F.col("id"), "left")
+    return out.select("doc_id", "n_features", F.ceil(F.col("n_features") / FULL).alias("n_filters"), "digest", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

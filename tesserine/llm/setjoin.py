@@ -71,7 +71,7 @@ def shared_sets(rows: DataFrame, column: str, tokenise: Tokenise, tokens: int, t
             h, doc, bucket = h[order], doc[order].astype(np.uint16), bucket[order]
             low, high = (h & U64(0xFFFFFFFF)).astype(np.uint32), ((h >> U64(32)) & U64(255)).astype(np.uint8)
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-            for x, y in zip(first, [*first[1:], len(h)], strict=True):
+            for x, y in zip(first, [*first[1:], len(h)][: len(first)], strict=True):  # none, if no text has tokens
                 rows.append((int(bucket[x]), batch, low[x:y].tobytes(), high[x:y].tobytes(), b"", doc[x:y].tobytes()))
             yield packed(rows)
             batch += 1

@@ -123,6 +123,18 @@ def test_fingerprints_find_all_pairs(spark, place, most):
     assert {(a, b) for a, bs in zip(out.doc_id, out.similar, strict=True) for b in bs} == want and len(want) > 100
 
 
+def test_fingerprint_classes_are_those_of_the_lists(spark):
+    docs = queries.table(spark, D, "documents").filter("doc_id < 600")
+    more = spark.createDataFrame([(7, docs.filter("doc_id = 9").first().text), (None, docs.filter("doc_id = 8").first().text), (9000, None)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(more)
+    lists, out = fingerprints.fingerprints(docs).collect(), fingerprints.fingerprint_classes(docs)
+    assert "similar" not in queries.op2_fingerprints(spark, D).columns and out.columns[-2:] == ["class_id", "links"]
+    want = classes_of({r.doc_id for r in lists if r.doc_id is not None}, {(r.doc_id, b) for r in lists for b in r.similar if r.doc_id < b})
+    key = lambda r: (r[0] is None, r[0] or 0, r[3])
+    got = sorted((tuple(r) for r in out.collect()), key=key)
+    assert got == sorted((tuple(r)[:4] + want.get(r.doc_id, (None, 0)) for r in lists), key=key) and max(r[5] for r in got) > 1
+
+
 def test_ngram_join_against_sql(spark):
     from tesserine.llm import ngram_join
 
