@@ -8,7 +8,7 @@ order whatever the number of languages. A text's language is the one with
 the lowest cross-entropy per character.
 
 Rejection is calibrated by held-out texts, whole and cut into pieces of about
-SIZES characters: of each size and language, the median cross-entropy and the
+SIZES characters that count: of each size and language, the median cross-entropy and the
 distance from it to the 95th percentile, WIDTH at least (a text may quote
 another tongue). A text is rejected as "und" if it is further above the
 median than SLACK times that distance, at its length (between sizes, by the
@@ -30,10 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kit
-from .features import matching, train_in_one_task
+from .features import train_in_one_task
 
 ORDER = 5
 SIZES, LEAST, SLACK, WIDTH = (50, 100, 200, 400, 800, 1600), 20, 4.0, 0.15
+STEPS = 10_000  # of a nat
+#: Of a language with as many labelled rows or fewer, every fifth document in the order of a hash is held out; of others those whose hash is divisible by five, which takes no ranks.
+FEW = 2000
 U64 = kit.U64
 
 
@@ -86,16 +89,32 @@ def digits_in(words: kit.Words) -> np.ndarray:
     return total[words.end] > total[words.start]
 
 
+def vocabulary(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of texts, without those with digits, and how often each occurs."""
+    words = kit.Words(texts)
+    which, inv = distinct_words(words, np.flatnonzero(~digits_in(words)))
+    data = words.data.tobytes()
+    return [data[x:y] for x, y in zip(words.start[which].tolist(), words.end[which].tolist(), strict=True)], np.bincount(inv, minlength=len(which))
+
+
 def fit(languages: dict[str, list[str]], held: dict[str, list[str]]) -> dict:
     """The model of texts by language; held texts calibrate the rejection."""
+    model = fit_words({name: vocabulary(pa.array(texts, pa.string())) for name, texts in languages.items()})
+    for j, name in enumerate(model["names"]):
+        rows = piece_counts(model, pa.array(held[name] or languages[name], pa.string()), np.full(len(held[name] or languages[name]), j))
+        model["limits"][j] = limits([limit(*rows[2:, rows[1] == part]) for part in range(len(SIZES) + 1)])
+    return model
+
+
+def fit_words(languages: dict[str, tuple[list[bytes], np.ndarray]]) -> dict:
+    """The model of words and their counts by language; it rejects nothing yet."""
     names = sorted(languages)
     stats = []
     symbols: set[int] = set()
     for name in names:
-        words = kit.Words(pa.array(languages[name], pa.string()))
-        keep = np.flatnonzero(~digits_in(words))
-        which, inv = distinct_words(words, keep)
-        count = np.bincount(inv, minlength=len(which))
+        own, count = languages[name]
+        words = kit.Words(pa.array(own, pa.binary()).cast(pa.string()))
+        which = np.arange(len(own))  # each is one word
         cp = characters(words, which)
         symbols |= set(np.unique(cp).tolist())
         g = Grams(cp)
@@ -144,39 +163,63 @@ def fit(languages: dict[str, list[str]], held: dict[str, list[str]]) -> dict:
         grams.append((h, lp))
         contexts.append((c, bow.astype(np.float32)))
         lower = (h, lp)
-    model = {"names": names, "base": float(base), "grams": grams, "contexts": contexts}
-    model["limits"] = [limits(model, j, held[name] or languages[name]) for j, name in enumerate(names)]
-    return model
+    return {"names": names, "base": float(base), "grams": grams, "contexts": contexts, "limits": [limits([]) for _ in names]}
 
 
-def pieces(texts: list[str], size: int) -> list[str]:
-    """The texts in pieces of whole words, of size characters or just over; what is left at a text's end is too short."""
+def piece_counts(model: dict, texts: pa.Array, language: np.ndarray) -> np.ndarray:
+    """Language, part, kind, value and number of pieces, in five rows: of the texts, each by the model of its language, cut into pieces of whole words, of SIZES[part] characters or just over (what is left at a text's end is too short), and, as the last part, whole. Kind 0 is the cross-entropy in steps of 1 / STEPS nats, kind 1 the characters."""
+    words = kit.Words(texts)
+    keep = np.flatnonzero(~digits_in(words))
+    if not len(keep):
+        return np.empty((5, 0), np.int64)
+    which, inv = distinct_words(words, keep)
+    lp, size = word_scores(model, words, which)
+    doc = words.doc[keep]
+    cost, chars = np.r_[0, np.cumsum(-lp[inv, language[doc]])], np.r_[0, np.cumsum(size[inv])]
+    at = np.searchsorted(doc, np.arange(words.n + 1))
     out = []
-    for text in texts:
-        now, n = [], 0
-        for word in text.split():
-            now.append(word)
-            n += len(word) + 1
-            if n >= size:
-                out.append(" ".join(now))
-                now, n = [], 0
-    return out
-
-
-def limits(model: dict, j: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths, ascending, and the highest cross-entropy accepted at each, of language j; none if there are too few texts to tell."""
-    sizes, tops = [], []
-    for part in [*(pieces(texts, size) for size in SIZES), texts]:
-        total, size = text_scores(model, pa.array(part, pa.string()))
-        some = size > 0
-        if np.count_nonzero(some) < LEAST:
-            continue
-        h = -total[some, j] / size[some]
-        middle, high = np.quantile(h, [0.5, 0.95])
-        sizes.append(np.median(size[some]))
-        tops.append(middle + SLACK * max(high - middle, WIDTH))
-    order = np.argsort(sizes)
-    return np.array(sizes)[order], np.array(tops)[order]
+    for part in range(len(SIZES) + 1):
+        if part == len(SIZES):
+            x, y = at[:-1][np.diff(at) > 0], at[1:][np.diff(at) > 0]
+        else:  # from each word to behind the last of a piece that begins with it
+            after = np.searchsorted(chars, chars[:-1] + SIZES[part]).tolist()
+            begins, ends = [], []
+            for k, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                while k < end and after[k] <= end:
+                    begins.append(k)
+                    k = after[k]
+                    ends.append(k)
+            x, y = np.array(begins, np.int64), np.array(ends, np.int64)
+        n = chars[y] - chars[x]
+        j = language[doc[x]]
+        for kind, value in enumerate((np.round((cost[y] - cost[x]) / n * STEPS).astype(np.int64), n)):
+            (*key,), count = np.unique(np.stack([j, value]), axis=1, return_counts=True)
+            out.append(np.stack([key[0], np.full(len(count), part), np.full(len(count), kind), key[1], count]))
+    return np.concatenate(out, axis=1).astype(np.int64)
+
+
+def quantile(value: np.ndarray, count: np.ndarray, q: float) -> float:
+    """numpy's quantile of values that occur count times."""
+    order = np.argsort(value)
+    value, upto = value[order], np.cumsum(count[order])
+    place = q * (upto[-1] - 1)
+    low, high = value[np.searchsorted(upto, [np.floor(place), np.ceil(place)], "right")]
+    return float(low + (high - low) * (place - np.floor(place)))
+
+
+def limit(kind: np.ndarray, value: np.ndarray, count: np.ndarray) -> tuple[float, float] | None:
+    """The length of the pieces counted, and the highest cross-entropy accepted at it; None if there are too few to tell."""
+    h, n = kind == 0, kind == 1
+    if count[h].sum() < LEAST:
+        return None
+    middle, high = (quantile(value[h], count[h], q) / STEPS for q in (0.5, 0.95))
+    return quantile(value[n], count[n], 0.5), middle + SLACK * max(high - middle, WIDTH)
+
+
+def limits(each: list[tuple[float, float] | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, ascending, and the highest cross-entropy accepted at each."""
+    sizes, tops = np.array(sorted(x for x in each if x), float).reshape(-1, 2).T
+    return sizes, tops
 
 
 def accepted(model: dict, best: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -219,33 +262,65 @@ def text_scores(model: dict, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return total, np.bincount(doc, size[inv], words.n) if len(keep) else np.zeros(words.n)
 
 
-def train(docs: DataFrame, max_docs: int = 400, max_langs: int = 256, seed: int = 11) -> dict | None:
-    """The model from docs(doc_id, text, lang), lang being the label; None where no row has both.
+def train(docs: DataFrame, max_langs: int = 256, seed: int = 11) -> dict | None:
+    """The model from all of docs(doc_id, text, lang), lang being the label; None where no row has both.
 
-    max_docs bounds the labelled documents of each language, drawn by the
-    lowest hashes of doc_id, and max_langs the languages, those with the most
-    labelled rows; every fifth document is held out for the calibration.
+    Words are counted over every labelled row, but for the fifth of the
+    documents that is held out, all of which calibrate the rejection; a
+    language of under five documents is calibrated by them. max_langs bounds
+    the languages to those with the most labelled rows. What one task holds
+    are the distinct words.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null and lang <> '' and text is not null and text <> ''")
-    langs = slim.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(max_langs)
-    # eight times as many as are asked for go on to be ranked; repeated ids may leave fewer
-    cut = F.xxhash64("doc_id", F.lit(seed)) < (-(2.0**63) + F.least(F.lit(2.0**64), 2.0**64 * 8 * max_docs / F.col("_n")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
-    ids = slim.select("doc_id", "lang").join(F.broadcast(langs), "lang").filter(cut).select("doc_id", "lang").distinct().withColumn("rank", rank).filter(F.col("rank") <= max_docs).select("doc_id", "lang", "rank")
-    sample = matching(slim, ids, ["doc_id", "lang"]).select("lang", "rank", "text")
+    top = slim.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(max_langs).collect()
+    if not top:
+        return None
+    names = sorted(r.lang for r in top)
+    place = {name: j for j, name in enumerate(names)}
+    langs = docs.sparkSession.createDataFrame([(r.lang, place[r.lang], r._n <= FEW) for r in top], "lang string, j int, few boolean")
+    slim = slim.join(F.broadcast(langs), "lang")
+    h = F.xxhash64("doc_id", F.lit(seed))
+    rank = F.row_number().over(Window.partitionBy("j").orderBy(h, "doc_id"))
+    ranks = kit.cut(slim.filter("few").select("doc_id", "j").distinct().withColumn("rank", rank))
+    tiny = [r.j for r in ranks.groupBy("j").agg(F.max("rank").alias("m")).filter("m < 5").collect()]
+    fifth = ranks.filter("rank % 5 = 0").select("doc_id", "j", F.lit(True).alias("mark"))  # FEW / 5 of each language at most
+    held = F.when(F.col("few"), F.col("mark").isNotNull()).otherwise(F.pmod(h, F.lit(5)) == 0)
+    rows = slim.join(F.broadcast(fifth), ["doc_id", "j"], "left").select("j", "text", held.alias("held"))
+
+    def count(batches):
+        for b in kit.slices(batches, most=4 << 20):
+            j = b.column("j").to_numpy()
+            for k in np.unique(j).tolist():
+                word, n = vocabulary(b.column("text").filter(pa.array(j == k)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(word, pa.binary()), pa.array(n, pa.int64())], ["j", "word", "n"])
 
     def one(t: pa.Table) -> pa.Table:
-        own: dict[str, list[str]] = {}
-        held: dict[str, list[str]] = {}
-        for name, rank, text in sorted(zip(*(t.column(c).to_pylist() for c in ("lang", "rank", "text")), strict=True)):
-            own.setdefault(name, [])
-            held.setdefault(name, [])
-            (held if rank % 5 == 0 else own)[name].append(text)
-        own = {k: v or held[k] for k, v in own.items()}
-        return pa.table({"model": [pickle.dumps(fit(own, held))]})
-
-    row = train_in_one_task(sample, one, "model binary")
-    return pickle.loads(row.model) if row else None
+        t = t.sort_by([("j", "ascending"), ("word", "ascending")])
+        j, n = t.column("j").to_numpy(), t.column("n").to_numpy()
+        at = np.searchsorted(j, np.arange(len(names) + 1)).tolist()
+        return pa.table({"model": [pickle.dumps(fit_words({name: (t.column("word").slice(x, y - x).to_pylist(), n[x:y]) for name, x, y in zip(names, at, at[1:], strict=False)}))]})
+
+    words = rows.filter("not held").select("j", "text").mapInArrow(kit.batchwise(count), "j int, word binary, n long").groupBy("j", "word").agg(F.sum("n").alias("n"))
+    row = train_in_one_task(words, one, "model binary")
+    if not row:  # labelled texts without words
+        return pickle.loads(pickle.dumps(fit_words({name: ([], np.empty(0, np.int64)) for name in names})))
+    model = pickle.loads(row.model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def calibrate(batches):
+        for b in kit.slices(batches, most=4 << 20):
+            out = piece_counts(shared.value, b.column("text"), b.column("j").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["j", "part", "kind", "value", "n"])
+
+    def top_of(t: pa.Table) -> pa.Table:
+        found = limit(*(t.column(c).to_numpy() for c in ("kind", "value", "n")))
+        return pa.table({"j": t.column("j").slice(0, 1), "size": [found and found[0]], "top": [found and found[1]]}, pa.schema([("j", pa.int64()), ("size", pa.float64()), ("top", pa.float64())]))
+
+    pieces = rows.filter(F.col("held") | F.col("j").isin(tiny)).select("j", "text").mapInArrow(kit.batchwise(calibrate), "j long, part long, kind long, value long, n long")
+    tops = pieces.groupBy("j", "part", "kind", "value").agg(F.sum("n").alias("n")).groupBy("j", "part").applyInArrow(kit.groupwise(top_of), "j long, size double, top double").filter("size is not null").collect()
+    model["limits"] = [limits([(r["size"], r.top) for r in tops if r.j == j]) for j in range(len(names))]
+    shared.unpersist()
+    return model
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tesserine.llm import components, decontamination, fingerprints, kit, language_id, packing, pii, quality, queries, token_output, toxicity, ziv_merhav
@@ -441,6 +442,22 @@ def test_kneser_ney_against_dictionaries():
         assert sum(p(context, c) for c in [*letters, "#"]) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("few", [0, 2000])
+def test_language_models_count_all_documents(spark, monkeypatch, few):
+    monkeypatch.setattr(language_id, "FEW", few)
+    name = lambda k: "".join("bdfglmnprs"[int(c)] + "aeiou"[int(c) % 5] for c in f"{k:04d}")
+    rows = [(k, f"{name(k)} and some words that all have " + "again " * (k % 7), "en") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    h = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(11)).alias("h")).collect()}
+    order = sorted(h, key=lambda k: (h[k], k))
+    held = {k for n, k in enumerate(order, 1) if n % 5 == 0} if few else {k for k in h if h[k] % 5 == 0}
+    want = language_id.fit({"en": [t for k, t, _ in rows if k not in held]}, {"en": [t for k, t, _ in rows if k in held]})
+    got = language_id.train(docs)
+    for (a, b), (c, d) in zip(got["grams"] + got["contexts"], want["grams"] + want["contexts"], strict=True):
+        assert np.array_equal(a, c) and np.allclose(b, d, atol=1e-5)
+    assert np.allclose(got["limits"], want["limits"], atol=2e-4)
+
+
 def test_languages(spark):
     docs = queries.table(spark, "/root/testdata/sf0.1", "documents")
     out = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
