@@ -89,50 +89,49 @@ def digits_in(words: kit.Words) -> np.ndarray:
     return total[words.end] > total[words.start]
 
 
-def vocabulary(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words of texts, without those with digits, and how often each occurs."""
+def grams(texts: pa.Array) -> list[np.ndarray]:
+    """n, hash, hash without the last character, hash without the first, whether it begins with a blank, and count of each distinct n-gram in the words of texts without digits."""
     words = kit.Words(texts)
     which, inv = distinct_words(words, np.flatnonzero(~digits_in(words)))
-    data = words.data.tobytes()
-    return [data[x:y] for x, y in zip(words.start[which].tolist(), words.end[which].tolist(), strict=True)], np.bincount(inv, minlength=len(which))
+    count = np.bincount(inv, minlength=len(which))
+    g = Grams(characters(words, which))
+    out = []
+    for n in range(1, ORDER + 1):
+        ok = np.flatnonzero(g.room >= n)
+        h, first, inv = np.unique(g.of(n, ok), return_index=True, return_inverse=True)
+        at = ok[first]
+        ctx, suffix = (g.before(n - 1, at), g.of(n - 1, at)) if n > 1 else (np.zeros(len(h), U64), np.zeros(len(h), U64))
+        out.append((np.full(len(h), n), h, ctx, suffix, g.room[at] == n, np.bincount(inv, count[g.word[ok]], len(h)).astype(np.int64) if len(h) else np.empty(0, np.int64)))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
 def fit(languages: dict[str, list[str]], held: dict[str, list[str]]) -> dict:
     """The model of texts by language; held texts calibrate the rejection."""
-    model = fit_words({name: vocabulary(pa.array(texts, pa.string())) for name, texts in languages.items()})
+    model = fit_grams({name: grams(pa.array(texts, pa.string())) for name, texts in languages.items()})
     for j, name in enumerate(model["names"]):
         rows = piece_counts(model, pa.array(held[name] or languages[name], pa.string()), np.full(len(held[name] or languages[name]), j))
         model["limits"][j] = limits([limit(*rows[2:, rows[1] == part]) for part in range(len(SIZES) + 1)])
     return model
 
 
-def fit_words(languages: dict[str, tuple[list[bytes], np.ndarray]]) -> dict:
-    """The model of words and their counts by language; it rejects nothing yet."""
+def fit_grams(languages: dict[str, list[np.ndarray]]) -> dict:
+    """The model of each language's grams(); it rejects nothing yet."""
     names = sorted(languages)
     stats = []
-    symbols: set[int] = set()
+    symbols = {kit.mix(np.array([33], U64) * kit.SALTS[0] + kit.SALTS[41])[0]}  # the blank's hash
     for name in names:
-        own, count = languages[name]
-        words = kit.Words(pa.array(own, pa.binary()).cast(pa.string()))
-        which = np.arange(len(own))  # each is one word
-        cp = characters(words, which)
-        symbols |= set(np.unique(cp).tolist())
-        g = Grams(cp)
-        weight = count[np.minimum(g.word, len(count) - 1)] if len(count) else np.empty(0, np.int64)
-        orders = []
+        own = []
         for n in range(1, ORDER + 1):
-            ok = np.flatnonzero(g.room >= n)
-            h, first, inv2 = np.unique(g.of(n, ok), return_index=True, return_inverse=True)
-            raw = np.bincount(inv2, weight[ok], len(h)) if len(h) else np.empty(0)
+            each = [c[languages[name][0] == n] for c in languages[name][1:]]
+            order = np.argsort(each[0])
+            own.append([c[order] for c in each])
+        symbols |= set(own[0][0].tolist())
+        orders = []
+        for n, (h, ctx, suffix, starts, raw) in enumerate(own, 1):
             if n < ORDER:  # how many different characters stand before it; what begins with a blank keeps its count
-                longer = np.flatnonzero(g.room >= n + 1)
-                pair, at = np.unique(g.of(n + 1, longer), return_index=True)
-                left = np.zeros(len(h))
-                np.add.at(left, np.searchsorted(h, g.of(n, longer[at])), 1)
-                starts = g.room[ok[first]] == n
+                left = np.bincount(np.searchsorted(h, own[n][2]), minlength=len(h)) if len(h) else raw
                 raw = np.where(starts & (n > 1), raw, left)
-            ctx = g.before(n - 1, ok[first]) if n > 1 else np.zeros(len(h), U64)
-            orders.append((h, raw, ctx, g.of(n - 1, ok[first]) if n > 1 else np.zeros(len(h), U64)))
+            orders.append((h, raw.astype(float), ctx, suffix))
         stats.append(orders)
     base = -np.log(len(symbols) + 1.0)
     grams, contexts = [], []
@@ -265,11 +264,11 @@ def text_scores(model: dict, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, max_langs: int = 256, seed: int = 11) -> dict | None:
     """The model from all of docs(doc_id, text, lang), lang being the label; None where no row has both.
 
-    Words are counted over every labelled row, but for the fifth of the
+    N-grams are counted over every labelled row, but for the fifth of the
     documents that is held out, all of which calibrate the rejection; a
     language of under five documents is calibrated by them. max_langs bounds
     the languages to those with the most labelled rows. What one task holds
-    are the distinct words.
+    are the distinct n-grams.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null and lang <> '' and text is not null and text <> ''")
     top = slim.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(max_langs).collect()
@@ -287,23 +286,25 @@ def train(docs: DataFrame, max_langs: int = 256, seed: int = 11) -> dict | None:
     held = F.when(F.col("few"), F.col("mark").isNotNull()).otherwise(F.pmod(h, F.lit(5)) == 0)
     rows = slim.join(F.broadcast(fifth), ["doc_id", "j"], "left").select("j", "text", held.alias("held"))
 
-    def count(batches):
+    fields = ["j", "n", "h", "ctx", "suffix", "starts", "count"]
+
+    def count_grams(batches):
         for b in kit.slices(batches, most=4 << 20):
             j = b.column("j").to_numpy()
             for k in np.unique(j).tolist():
-                word, n = vocabulary(b.column("text").filter(pa.array(j == k)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(word, pa.binary()), pa.array(n, pa.int64())], ["j", "word", "n"])
+                n, h, ctx, suffix, starts, count = grams(b.column("text").filter(pa.array(j == k)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(n), k, np.int32), n.astype(np.int32), h.view(np.int64), ctx.view(np.int64), suffix.view(np.int64), starts, count)], fields)
 
     def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("j", "ascending"), ("word", "ascending")])
-        j, n = t.column("j").to_numpy(), t.column("n").to_numpy()
-        at = np.searchsorted(j, np.arange(len(names) + 1)).tolist()
-        return pa.table({"model": [pickle.dumps(fit_words({name: (t.column("word").slice(x, y - x).to_pylist(), n[x:y]) for name, x, y in zip(names, at, at[1:], strict=False)}))]})
+        j, n, h, ctx, suffix, starts, count = (t.column(c).to_numpy() for c in fields)
+        own = n, h.view(U64), ctx.view(U64), suffix.view(U64), starts, count
+        return pa.table({"model": [pickle.dumps(fit_grams({name: [c[j == k] for c in own] for k, name in enumerate(names)}))]})
 
-    words = rows.filter("not held").select("j", "text").mapInArrow(kit.batchwise(count), "j int, word binary, n long").groupBy("j", "word").agg(F.sum("n").alias("n"))
-    row = train_in_one_task(words, one, "model binary")
+    counted = rows.filter("not held").select("j", "text").mapInArrow(kit.batchwise(count_grams), "j int, n int, h long, ctx long, suffix long, starts boolean, count long")
+    counted = counted.groupBy("j", "n", "h").agg(F.min("ctx").alias("ctx"), F.min("suffix").alias("suffix"), F.max("starts").alias("starts"), F.sum("count").alias("count"))
+    row = train_in_one_task(counted, one, "model binary")
     if not row:  # labelled texts without words
-        return pickle.loads(pickle.dumps(fit_words({name: ([], np.empty(0, np.int64)) for name in names})))
+        return fit_grams({name: grams(pa.array([], pa.string())) for name in names})
     model = pickle.loads(row.model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
