@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import azimuth, clamp, cubic_smooth, magnitude, matches_family
 from ..functions.noise import graph_noise
 from ..model import CostWeights
-from .spatial import knn_join, radius_join
+from ..plans.lineage import shuffled
+from .spatial import knn_join, near_places
 
 LEAST = 1e-5
 
@@ -26,7 +27,7 @@ def with_ends(edges: DataFrame, samples: DataFrame, properties: Sequence[str] =
     """edges with sx..sz, tx..tz and the source's properties."""
     s = samples.select(F.col("node_id").alias("src"), *(F.col(c).alias(f"s{c}") for c in "xyz"), *properties)
     t = samples.select(F.col("node_id").alias("dst"), *(F.col(c).alias(f"t{c}") for c in "xyz"))
-    return edges.join(s, "src").join(t, "dst")
+    return edges.join(shuffled(s), "src").join(shuffled(t), "dst")
 
 
 def edge_cost(w: CostWeights) -> Column:
@@ -62,26 +63,29 @@ def add_noise(edges: DataFrame, noise: DataFrame, weight: float) -> DataFrame:
     """edges whose weight has the noise(node_id, noise) of both ends added."""
     a = noise.select(F.col("node_id").alias("src"), F.col("noise").alias("_ns"))
     b = noise.select(F.col("node_id").alias("dst"), F.col("noise").alias("_nd"))
-    return edges.join(a, "src").join(b, "dst").withColumn("weight", F.col("weight") + graph_noise(F.col("_ns"), F.col("_nd"), weight)).drop("_ns", "_nd")
+    return edges.join(shuffled(a), "src").join(shuffled(b), "dst").withColumn("weight", F.col("weight") + graph_noise(F.col("_ns"), F.col("_nd"), weight)).drop("_ns", "_nd")
 
 
 def old_network(edges: DataFrame, old: DataFrame, fraction: float) -> DataFrame:
     """edges with the weight of those in old(src, dst) times fraction; the other direction stays."""
     mark = old.select("src", "dst").distinct().withColumn("_old", F.lit(True))
-    return edges.join(mark, ["src", "dst"], "left").withColumn("weight", F.when(F.col("_old"), F.col("weight") * fraction).otherwise(F.col("weight"))).drop("_old")
+    return edges.join(shuffled(mark), ["src", "dst"], "left").withColumn("weight", F.when(F.col("_old"), F.col("weight") * fraction).otherwise(F.col("weight"))).drop("_old")
 
 
 def near_waypoints(edges: DataFrame, samples: DataFrame, waypoints: DataFrame, radius: float, weight: float) -> DataFrame:
     """edges with the weight of those that leave a sample within radius of a waypoint times weight, once for each such waypoint(query_id, x, y, z)."""
-    hits = radius_join(samples, waypoints, radius).groupBy(F.col("node_id").alias("src")).agg(F.count(F.lit(1)).alias("_n"))
-    return edges.join(hits, "src", "left").withColumn("weight", F.col("weight") * F.pow(F.lit(float(weight)), F.coalesce("_n", F.lit(0)))).drop("_n")
+    ps, qs = ([F.col(c).cast("double").alias(f"{a}{k}") for k, c in enumerate("xyz")] for a in "pq")
+    keys = [f"p{k}" for k in range(3)]
+    near = near_places(samples.select(*ps).distinct(), waypoints.select(*qs).groupBy("q0", "q1", "q2").agg(F.count(F.lit(1)).alias("_w")), radius, 3)
+    hits = samples.select(F.col("node_id").alias("src"), *ps).join(shuffled(near.groupBy(*keys).agg(F.sum("_w").alias("_n"))), keys).select("src", "_n")
+    return edges.join(shuffled(hits), "src", "left").withColumn("weight", F.col("weight") * F.pow(F.lit(float(weight)), F.coalesce("_n", F.lit(0)))).drop("_n")
 
 
 def ball_cost(edges: DataFrame, samples: DataFrame, centre: Sequence[float], radius: float) -> DataFrame:
     """edges made dearer where they leave a ball, the more the nearer its centre; a new table, the old one stays as it is."""
     d = F.sqrt(sum(((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip("xyz", centre, strict=True)), F.lit(0.0)))
     inside = samples.select(F.col("node_id").alias("src"), d.alias("_d")).filter(F.col("_d") < radius)
-    return edges.join(inside, "src", "left").withColumn("weight", F.col("weight") + F.coalesce((1 - F.col("_d") / radius) * 2 * F.col("weight"), F.lit(0.0))).drop("_d")
+    return edges.join(shuffled(inside), "src", "left").withColumn("weight", F.col("weight") + F.coalesce((1 - F.col("_d") / radius) * 2 * F.col("weight"), F.lit(0.0))).drop("_d")
 
 
 def used_edges(edges: DataFrame, used: DataFrame, fraction: float, only_below: DataFrame | None = None) -> DataFrame:
@@ -91,7 +95,7 @@ def used_edges(edges: DataFrame, used: DataFrame, fraction: float, only_below: D
     if only_below is not None:
         times = times.join(only_below.select(F.col("node_id").alias("src"), "wt_idx").distinct(), "src")
         on.append("wt_idx")
-    return edges.join(times, on, "left").withColumn("weight", F.col("weight") * F.pow(F.lit(float(fraction)), F.coalesce("_n", F.lit(0)))).drop("_n").select(*edges.columns)
+    return edges.join(shuffled(times), on, "left").withColumn("weight", F.col("weight") * F.pow(F.lit(float(fraction)), F.coalesce("_n", F.lit(0)))).drop("_n").select(*edges.columns)
 
 
 def normalised(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.lineage import cut, kept_by, numbered
+from ..plans.lineage import cut, kept_by, numbered, shuffled
 
 
 def from_paths(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,10 +92,10 @@ def mean_deviation(edges: DataFrame, points: DataFrame) -> DataFrame:
     """The mean squared angle between successive edges; 0 with an edge without length, turning back included."""
     e = edges
     for end in ("src", "dst"):
-        e = e.join(points.select(F.col("node_id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in "xyz")), end)
+        e = e.join(shuffled(points.select(F.col("node_id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in "xyz"))), end)
     e = e.select("src", "dst", *((F.col(f"dst_{c}") - F.col(f"src_{c}")).alias(f"d{c}") for c in "xyz"))
     f = e.select(F.col("src").alias("dst"), *(F.col(f"d{c}").alias(f"e{c}") for c in "xyz"))
-    pairs = e.drop("src").join(f, "dst")
+    pairs = e.drop("src").join(shuffled(f), "dst")
     dot = sum((F.col(f"d{c}") * F.col(f"e{c}") for c in "xyz"), F.lit(0.0))
     size = F.sqrt(sum((F.col(f"d{c}") * F.col(f"d{c}") for c in "xyz"), F.lit(0.0))) * F.sqrt(sum((F.col(f"e{c}") * F.col(f"e{c}") for c in "xyz"), F.lit(0.0)))
     angle = F.when(size > 0, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / F.when(size > 0, size))))).otherwise(F.lit(0.0))

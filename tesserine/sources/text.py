@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.lineage import cut, in_order, numbered
+from ..plans.lineage import cut, in_order, numbered, shuffled
 
 OFF = ("//", "%", "::", "#")
 
@@ -119,9 +119,9 @@ def write_ply(samples: DataFrame, path: str) -> None:
 def graph_segments(edges: DataFrame, samples: DataFrame) -> DataFrame:
     """Each edge with its ends, its cost (cost_down) and that of the way back (cost_up), null where there is none."""
     back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("weight").alias("cost_up"))
-    out = edges.withColumnRenamed("weight", "cost_down").join(back, ["src", "dst"], "left")
+    out = edges.withColumnRenamed("weight", "cost_down").join(shuffled(back), ["src", "dst"], "left")
     for end, k in (("src", 0), ("dst", 1)):
-        out = out.join(samples.select(F.col("node_id").alias(end), *(F.col(c).alias(f"{c}{k}") for c in "xyz")), end)
+        out = out.join(shuffled(samples.select(F.col("node_id").alias(end), *(F.col(c).alias(f"{c}{k}") for c in "xyz"))), end)
     return out.select("src", "dst", *(f"{c}{k}" for k in (0, 1) for c in "xyz"), "cost_down", "cost_up")
 
 
