@@ -63,3 +63,12 @@ def test_radius_join_meets_places(spark, monkeypatch):
     assert {(g.query_id, g.node_id) for g in got} == want and len(got) == len(want)
     same = spark.range(5000).selectExpr("id as node_id", "0.0D as x", "0.0D as y", "0.0D as z")
     assert spatial.bunched(same, ("x", "y", "z"), "node_id", "p").count() == -(-5000 // 3)
+
+
+def test_waypoints_are_counted_by_place(spark):
+    s = table(spark, [[0, 0, 0], [3, 0, 0], [0, 0, 0]])
+    w = spark.createDataFrame([(k, 1.0, 0.0, 0.0) for k in range(7)] + [(9, 3.5, 0.0, 0.0)], "query_id long, x double, y double, z double")
+    e = s.selectExpr("node_id as src", "node_id + 1 as dst", "1.0D as weight")
+    assert {r.src: r.weight for r in cost.near_waypoints(e, s, w, 1.5, 0.5).collect()} == {0: 0.5**7, 1: 0.5, 2: 0.5**7}
+    near = spatial.near_places(s.selectExpr("x as p0", "y as p1", "z as p2").distinct(), w.selectExpr("x as q0", "y as q1", "z as q2").distinct(), 1.5, 3)
+    assert near.count() == 2
