@@ -2,26 +2,72 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.geometry import seeded, seeded_pair
-from ..plans.lineage import cut, numbered
+from ..functions.geometry import cell, seeded, seeded_pair, squared_distance
+from ..plans.lineage import cut, numbered, shuffled
 from .paths import shortest_paths
 from .skeleton import related
-from .spatial import knn_join, radius_join
+from .spatial import knn_join, near_places, radius_join
 
 XYZ = ("x", "y", "z")
+#: Draws are below it.
+DRAWS = 2147483648
+
+
+def pairs_by_draw(points: DataFrame, below: int, seed: int) -> DataFrame:
+    """u < v with both places, of those pairs of points(node_id, x, y, z) whose seeded_pair() is below a power of two, found without the others.
+
+    The draw of u and v is (a + b) modulo 2^31, a by u alone and b by v alone,
+    so that v lies in an interval of b, and the interval in two buckets.
+    """
+    every, n = F.lit(DRAWS), DRAWS // below
+    own = lambda c: points.select(F.col("node_id").alias(c), *(F.col(x).cast("double").alias(f"_{c}{x}") for x in XYZ))
+    a, b = seeded_pair(F.col("u"), F.lit(0), seed), seeded_pair(F.lit(0), F.col("v"), 0)
+    us = own("u").withColumn("_a", a).withColumn("_at", F.floor(F.pmod(every - F.col("_a"), every) / below))
+    us = us.withColumn("_at", F.explode(F.array_distinct(F.array(F.col("_at"), F.pmod(F.col("_at") + 1, F.lit(n))))))
+    vs = own("v").withColumn("_b", b).withColumn("_at", F.floor(F.col("_b") / below))
+    return us.join(shuffled(vs), "_at").filter((F.col("u") < F.col("v")) & (F.pmod(F.col("_a") + F.col("_b"), every) < below))
 
 
 def cycle_pairs(points: DataFrame, edges: DataFrame, least: float, most: float, count: int, seed: int) -> DataFrame:
-    """u < v, dist: `count` seeded pairs of unconnected nodes(node_id, x, y, z) with least <= distance <= most."""
-    near = radius_join(points, points.withColumnRenamed("node_id", "query_id"), most * (1 + 1e-12) + 1e-12).filter("query_id < node_id")
-    pairs = near.select(F.col("query_id").alias("u"), F.col("node_id").alias("v"), F.sqrt("d2").alias("dist")).filter(F.col("dist").between(least, most))
+    """u < v, dist: `count` seeded pairs of unconnected nodes(node_id, x, y, z) with least <= distance <= most.
+
+    Pairs are looked at in the order of their draw, 16 times as many each time
+    until enough are found, or, once those would be as many as the pairs that
+    the cells allow, the near ones all.
+    """
+    reach = most * (1 + 1e-12) + 1e-12
     known = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
     order = seeded_pair(F.col("u"), F.col("v"), seed)
-    return pairs.join(known, ["u", "v"], "left_anti").orderBy(order, "u", "v").limit(count)
+    free = lambda pairs: pairs.filter(F.col("dist").between(least, most)).join(shuffled(known), ["u", "v"], "left_anti")
+    n = max(points.count(), 2)
+    below, near = 1, None
+    while below < DRAWS and n * n * below // (2 * DRAWS) < 64 * count:
+        below *= 2
+    while below < DRAWS:
+        gap = squared_distance([F.col(f"_v{x}") for x in XYZ], [F.col(f"_u{x}") for x in XYZ])
+        found = cut(free(pairs_by_draw(points, below, seed).select("u", "v", F.sqrt(gap).alias("dist"))))
+        if found.count() >= count:
+            return found.orderBy(order, "u", "v").limit(count)
+        if near is None:
+            near = pairs_in_cells(points, reach)
+        below *= 16
+        if n * n * below // (2 * DRAWS) >= near:
+            break
+    pairs = radius_join(points, points.withColumnRenamed("node_id", "query_id"), reach).filter("query_id < node_id")
+    return free(pairs.select(F.col("query_id").alias("u"), F.col("node_id").alias("v"), F.sqrt("d2").alias("dist"))).orderBy(order, "u", "v").limit(count)
+
+
+def pairs_in_cells(points: DataFrame, size: float) -> int:
+    """How many pairs of points lie in the same cell or in neighbouring ones."""
+    own = F.struct(*(cell(F.col(c), size).alias(f"c{k}") for k, c in enumerate(XYZ)))
+    cells = points.groupBy(own.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    around = cells.select(F.col("_n").alias("_m"), F.explode(F.array(*(F.struct(*((F.col(f"_cell.c{k}") + d).alias(f"c{k}") for k, d in enumerate(o))) for o in product((-1, 0, 1), repeat=3)))).alias("_cell"))
+    return around.join(shuffled(cells), "_cell").agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).first()[0] or 0
 
 
 def cycles(graph: DataFrame, pairs: DataFrame, points: DataFrame, branches: DataFrame | None = None) -> DataFrame:
@@ -66,12 +112,22 @@ def mean_cycle_length(paths: DataFrame, length: str = "length") -> DataFrame:
 
 
 def dead_end_starts(samples: DataFrame, nodes: DataFrame, radius: float, count: int, seed: int, z_factor: float = 50.0) -> DataFrame:
-    """`count` seeded samples(node_id, x, y, z), each with the network node_id near it: sample_id, network_id; heights count z_factor-fold."""
-    flat = lambda df: df.select("node_id", "x", "y", (F.col("z") * z_factor).alias("z"))
-    near = radius_join(flat(samples.join(nodes.select("node_id"), "node_id", "left_anti")), flat(nodes).withColumnRenamed("node_id", "query_id"), radius)
-    one = Window.partitionBy("query_id").orderBy(seeded(F.col("node_id"), seed), "node_id")
-    drawn = near.withColumn("_r", F.row_number().over(one)).filter("_r = 1")
-    return drawn.orderBy(seeded(F.col("query_id"), seed), "query_id").limit(count).select(F.col("node_id").alias("sample_id"), F.col("query_id").alias("network_id"))
+    """`count` seeded samples(node_id, x, y, z), each with the network node_id near it: sample_id, network_id; heights count z_factor-fold.
+
+    Nodes are looked at in the order of their draw, four times `count` and then
+    eight times as many each time, until enough have a sample near them. Of the
+    samples at one place the first by the draw stands for all.
+    """
+    place = lambda a: [F.col(c).cast("double").alias(f"{a}{k}") if c != "z" else (F.col(c) * z_factor).cast("double").alias(f"{a}{k}") for k, c in enumerate(XYZ)]
+    draw = lambda c: F.struct(seeded(F.col(c), seed).alias("_d"), F.col(c).alias("_id"))
+    free = samples.join(shuffled(nodes.select("node_id")), "node_id", "left_anti").select(*place("p"), draw("node_id").alias("_s")).groupBy("p0", "p1", "p2").agg(F.min("_s").alias("_s"))
+    free, total, most = cut(free), nodes.count(), 4 * count
+    while True:
+        some = cut(nodes.select(F.col("node_id").alias("query_id"), *place("q")).orderBy(seeded(F.col("query_id"), seed), "query_id").limit(most))
+        drawn = cut(near_places(free, some, radius, 3).groupBy("query_id").agg(F.min("_s").alias("_s")))
+        if most >= total or drawn.count() >= count:
+            return drawn.orderBy(seeded(F.col("query_id"), seed), "query_id").limit(count).select(F.col("_s._id").alias("sample_id"), F.col("query_id").alias("network_id"))
+        most = min(most * 8, total)
 
 
 def dead_ends(graph: DataFrame, starts: DataFrame) -> DataFrame:

@@ -72,3 +72,30 @@ def test_waypoints_are_counted_by_place(spark):
     assert {r.src: r.weight for r in cost.near_waypoints(e, s, w, 1.5, 0.5).collect()} == {0: 0.5**7, 1: 0.5, 2: 0.5**7}
     near = spatial.near_places(s.selectExpr("x as p0", "y as p1", "z as p2").distinct(), w.selectExpr("x as q0", "y as q1", "z as q2").distinct(), 1.5, 3)
     assert near.count() == 2
+
+
+def test_pairs_are_drawn_without_all_near_ones(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.uniform(0, 9, (700, 3))
+    p = table(spark, x)
+    e = spark.createDataFrame([(k, (k * 7 + 1) % 700) for k in range(700)], "src long, dst long")
+    known = {(min(a, b), max(a, b)) for a, b in ((k, (k * 7 + 1) % 700) for k in range(700))}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    every = sorted((((u * 1000003 + v) * 1103515245 + 7) % 2**31, u, v) for u in range(700) for v in range(u + 1, 700) if 2 <= d[u, v] <= 4 and (u, v) not in known)
+    ask = lambda count: [(r.u, r.v) for r in amplify.cycle_pairs(p, e, 2.0, 4.0, count, 7).collect()]
+    assert ask(10**6) == [(u, v) for _, u, v in every]  # more than there are: all near pairs
+    monkeypatch.setattr(amplify, "radius_join", refuse)
+    assert ask(40) == [(u, v) for _, u, v in every[:40]]
+
+
+def test_dead_ends_are_drawn_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(amplify, "radius_join", refuse)
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.uniform(0, 40, (300, 2)), rng.uniform(0, 0.1, 300)])
+    s = table(spark, x)
+    n = s.filter("node_id % 3 = 0")
+    draw = lambda k: (k * 1103515245 + 3) % 2**31
+    near = {q: min((draw(k), k) for k in free)[1] for q in range(0, 300, 3) if (free := [k for k in range(300) if k % 3 and sum(((x[q] - x[k]) * [1, 1, 50]) ** 2) < 6.25])}
+    for count in (2, 200):
+        got = [(r.network_id, r.sample_id) for r in amplify.dead_end_starts(s, n, 2.5, count, 3).collect()]
+        assert got == [(q, near[q]) for q in sorted(near, key=draw)[:count]]
