@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserine.operators import amplify, cost, spatial, tiles
+from tesserine.operators import amplify, cost, paths, search, spatial, tiles
 from tesserine.sources import text
 
 P = "node_id long, x double, y double, z double"
@@ -99,3 +99,28 @@ def test_dead_ends_are_drawn_in_batches(spark, monkeypatch):
     for count in (2, 200):
         got = [(r.network_id, r.sample_id) for r in amplify.dead_end_starts(s, n, 2.5, count, 3).collect()]
         assert got == [(q, near[q]) for q in sorted(near, key=draw)[:count]]
+
+
+def test_paths_of_held_graphs_are_those_of_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    e = spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 80, 300), rng.integers(0, 80, 300), rng.integers(0, 4, 300), strict=True)], "src long, dst long, weight double")
+    sources = spark.createDataFrame([(k, 3 * k) for k in range(6)] + [(500, 400)], "source long, start long")
+    ends = spark.createDataFrame([(k, 5 * k + 7) for k in range(6)] + [(2, 900), (500, 400)], "source long, node long")
+    penalty = spark.createDataFrame([(k, 3 * k + 1, 4.0) for k in range(6)], "source long, node long, factor double")
+    ways = {
+        "all": lambda: paths.distances(e, sources), "rounds": lambda: paths.distances(e, sources, max_rounds=2), "target": lambda: paths.shortest_paths(e, sources, target=9, ends=spark.createDataFrame([(9,)], "node long")),
+        "ends": lambda: paths.shortest_paths(e, sources, ends=ends, penalty=penalty), "paths": lambda: paths.shortest_paths(e, sources),
+    }
+    rows = lambda f: sorted(map(repr, f().collect()))
+    held = {k: rows(f) for k, f in ways.items()}
+    monkeypatch.setattr(paths, "HELD", -1)
+    assert held == {k: rows(f) for k, f in ways.items()} and all(held.values())
+
+
+def test_a_search_ends_with_its_ends():
+    n = 1000
+    g = search.Graph(np.arange(n), np.arange(1, n + 1), np.ones(n), np.empty(0, np.int64))
+    _, _, hops = search.reach(g, np.array([5]), None, None, None, np.array([8]))
+    assert np.nonzero(hops >= 0)[0].tolist() == [5, 6, 7, 8, 9]
+    ids, w = np.arange(3 * n), np.zeros(0)
+    assert len(search.Graph(w.astype(int), w.astype(int), w, ids).ids) == 3 * n
