@@ -144,7 +144,7 @@ def ingested(spark, d):
     """Events as points that come as a stream, each once, without those that are removed after."""
     come, kept, check = (place(spark, x) for x in ("come", "kept", "check"))
     e = t(spark, d, "events").select(F.col("event_id").alias("node_id"), (F.col("user_id") * 1.0).alias("x"), F.col("value").alias("y"), F.lit(0.0).alias("z"), F.col("ts").cast("timestamp").alias("ts"))
-    e.unionByName(e.filter("node_id % 5 = 0")).coalesce(1).write.parquet(come)
+    e.unionByName(e.filter("node_id % 5 = 0")).write.parquet(come)
     ingest.ingest(spark, come, kept, check, 10.0, late="4000 days").awaitTermination()
     out = spark.read.parquet(kept)
     return ingest.removed(out, e.filter("node_id % 3 = 0")).groupBy(F.col("cx").cast("long").alias("cx")).agg(F.count(F.lit(1)).alias("n"), F.sum("node_id").alias("ids"))
