@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserine.operators import amplify, cost, paths, search, spatial, tiles
 from tesserine.sources import text
+from tesserine.streaming import ingest
 
 P = "node_id long, x double, y double, z double"
 
@@ -124,3 +125,31 @@ def test_a_search_ends_with_its_ends():
     assert np.nonzero(hops >= 0)[0].tolist() == [5, 6, 7, 8, 9]
     ids, w = np.arange(3 * n), np.zeros(0)
     assert len(search.Graph(w.astype(int), w.astype(int), w, ids).ids) == 3 * n
+
+
+def test_ingest_writes_few_files(spark, tmp_path):
+    p = spark.range(4000).selectExpr("id as node_id", "(id % 500) * 1.0D as x", "0.0D as y", "0.0D as z", "timestamp_seconds(1000) as ts")
+    p.write.parquet(str(tmp_path / "in"))
+    ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), 1.0).awaitTermination(120)
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) <= -(-500 // ingest.BAND) * ingest.FILES
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 4000 and got.filter("cx <> x").count() == 0
+
+
+def test_vectors_that_repeat_are_compared_once(spark, monkeypatch):
+    p = spark.range(40_000).selectExpr("id", "array(id % 5 * 0.5D, 1.0D) as v")
+    got = spatial.brute_knn(p, p, 2, "v", "id", "id", "l2", exclude_self=True)
+    row = got.agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d"), F.max("node_id").alias("top")).first()
+    assert (row.n, row.d, row.top) == (80_000, 0.0, 14)
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+def test_single_precision_rules_out_no_neighbour(metric):
+    rng = np.random.default_rng(13)
+    y = np.concatenate([rng.normal(0, 1, (3000, 16)), 1 + rng.normal(0, 1e-9, (900, 16)), np.ones((5, 16))])
+    x = y[::13]
+    full = spatial.pair_distances(metric, x[:, None], y[None])
+    ids = rng.permutation(len(y))
+    i, node, d = spatial.k_least(metric, x, y, ids, 4)
+    want = [(q, ids[n], full[q, n]) for q in range(len(x)) for n in np.lexsort((ids, full[q]))[:4]]
+    assert list(zip(i, node, d, strict=True)) == want
